@@ -3,27 +3,81 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import embeddings, simhash
+from orrery.llm import bpe, decontaminate, embeddings, passages, quality, simhash, token_counts
 from orrery.llm.common import table
 
 
+#: Where the vocabulary files are; a parameter of the operators.
+TOKENIZERS = Path(public_tokenizers.path("README.md")).parent
+
+
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts are the sources, paths their languages."""
+    found = quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), host=F.col("source"), path=F.col("lang"))
+    return found.select(F.col("id").alias("doc_id"), "p_quality", "p_toxic", "kept")
+
+
+def op2_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bpe.encode_documents(table(spark, sf_dir, "documents"), str(TOKENIZERS / "word_bpe_49k.json"))
+    return found.select(F.col("id").alias("doc_id"), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "n_shingles", "n_found", "containment")
+
+
+OP3_SQL = """
+WITH lowered AS (
+  SELECT 'd' AS side, doc_id AS id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+  UNION ALL
+  SELECT 'b', item_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FROM benchmark),
+split AS (
+  SELECT side, id, string_split_regex(regexp_replace(t, '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g'), '[\\x20\\x09-\\x0D]+') AS ws FROM lowered WHERE regexp_matches(t, '[^\\x20\\x09-\\x0D]')),
+item_at AS (SELECT id, ws, least(len(ws), 5) AS w, unnest(range(1, len(ws) - least(len(ws), 5) + 2)) AS i FROM split WHERE side = 'b'),
+item AS (SELECT DISTINCT id AS item_id, w, array_to_string(ws[i:i + w - 1], ' ') AS gram FROM item_at),
+sizes AS (SELECT item_id, count(*) AS n FROM item GROUP BY item_id),
+doc_at AS (SELECT id, ws, w, unnest(range(1, len(ws) - w + 2)) AS i FROM split, (SELECT DISTINCT w FROM item) AS widths WHERE side = 'd' AND len(ws) >= w),
+doc AS (SELECT DISTINCT id AS doc_id, w, array_to_string(ws[i:i + w - 1], ' ') AS gram FROM doc_at)
+SELECT doc_id, item_id, CAST(any_value(n) AS INTEGER) AS n_shingles, CAST(count(*) AS INTEGER) AS n_found, count(*) / any_value(n) AS containment
+FROM doc JOIN item USING (w, gram) JOIN sizes USING (item_id) GROUP BY doc_id, item_id HAVING count(*) / any_value(n) >= 0.8
+"""
+
+
 def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = embeddings.near_vectors(table(spark, sf_dir, "embeddings"))
     return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", "kept")
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every text, and after two edits: five characters go at a third, a word comes in at two thirds."""
+    docs = table(spark, sf_dir, "documents")
+    third = F.floor(F.coalesce(F.length("text"), F.lit(0)) / 3).cast("int")
+    edit = lambda start, end, text: F.struct(start.alias("start"), end.alias("end"), F.lit(text).alias("text"))
+    edits = F.array(edit(third, third + 5, ""), edit(2 * third, 2 * third, " [edited] "))
+    found = token_counts.edited_counts(docs.select("doc_id", "text", edits.alias("edits")), str(TOKENIZERS / "byte_bpe_50k.json"))
+    return found.select(F.col("id").alias("doc_id"), "n_pre_tokens", "n_tokens", "n_tokens_edited", "n_reencoded")
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.simhash_components(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = passages.repeated_passages(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "start_word", "end_word", F.col("source_id").alias("source_doc_id"), "source_start", "source_end", "similarity")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_embedding_near_dedup, op9_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_bpe_encode_decode, op3_benchmark_decontamination, op7_embedding_near_dedup, op8_token_counts, op9_simhash_near_dedup, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_benchmark_decontamination": OP3_SQL}
