@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import bpe, decontaminate, embeddings, passages, quality, simhash, token_counts
+from orrery.llm import bpe, decontaminate, embeddings, language_model, licences, passages, quality, simhash, token_counts
 from orrery.llm.common import table
 
 
@@ -50,6 +50,14 @@ FROM doc JOIN item USING (w, gram) JOIN sizes USING (item_id) GROUP BY doc_id, i
 """
 
 
+def op5_licence_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.licence_paragraphs(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.class_bigram_scores(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = embeddings.near_vectors(table(spark, sf_dir, "embeddings"))
     return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", "kept")
@@ -76,7 +84,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_bpe_encode_decode, op3_benchmark_decontamination, op7_embedding_near_dedup, op8_token_counts, op9_simhash_near_dedup, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_bpe_encode_decode, op3_benchmark_decontamination, op5_licence_scans, op6_lm_scoring, op7_embedding_near_dedup, op8_token_counts, op9_simhash_near_dedup, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
