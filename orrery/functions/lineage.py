@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,3 +35,12 @@ def lookup(df: DataFrame, table: DataFrame, keys: list[str], how: str = "left",
     """
     n = table.count() if rows is None else rows
     return df.join(F.broadcast(table) if n <= BROADCAST_ROWS else table, keys, how)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet beside the checkpoints, in the folder that the cluster shares, and read again."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
