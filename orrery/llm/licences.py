@@ -76,6 +76,8 @@ def _local(spark: SparkSession, rows: list[dict], ddl: str) -> DataFrame:
 def training_paragraphs(spark: SparkSession) -> DataFrame:
     """``text, family, fold``: notices and sentences of each family, strange licences, and other sentences."""
     rows = [(t, f, None) for f, ts in NOTICES.items() for t in ts]
+    # Parts of the long notices, as when lines are broken.
+    rows += [(" ".join(w[a:b]), f, 1) for f, ts in NOTICES.items() for t in ts if len(w := t.split()) > 10 for a, b in ((0, len(w) * 2 // 3), (len(w) // 3, len(w)), (0, len(w) // 2))]
     rows += [(f"{o} {n}{e}.", f, None) for f, ns in NAMES.items() for n in ns for o in OPENINGS for e in ENDINGS]
     # Strange licences are held out by their names, all sentences of a name together.
     rows += [(f"{o} {n}{e}.", UNKNOWN, i % 4) for i, n in enumerate(STRANGE) for o in OPENINGS[i % 3 :: 3] for e in ENDINGS]

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import bpe, decontaminate, embeddings, language_model, licences, passages, quality, simhash, token_counts
+from orrery.llm import bpe, decontaminate, embeddings, language_model, licences, passages, quality, simhash, suffixes, token_counts
 from orrery.llm.common import table
 
 
@@ -50,6 +50,12 @@ FROM doc JOIN item USING (w, gram) JOIN sizes USING (item_id) GROUP BY doc_id, i
 """
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.repeated_bytes_removed(table(spark, sf_dir, "documents"))
+    kept = F.octet_length("kept").cast("long")
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", (F.col("n_bytes") - kept).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_licence_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.licence_paragraphs(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -84,7 +90,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_bpe_encode_decode, op3_benchmark_decontamination, op5_licence_scans, op6_lm_scoring, op7_embedding_near_dedup, op8_token_counts, op9_simhash_near_dedup, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_bpe_encode_decode, op3_benchmark_decontamination, op4_suffix_array_dedup, op5_licence_scans, op6_lm_scoring, op7_embedding_near_dedup, op8_token_counts, op9_simhash_near_dedup, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
