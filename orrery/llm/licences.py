@@ -62,10 +62,15 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
+def _runs(ws: Column, n: int) -> Column:
+    """All runs of n words, joined by a space."""
+    each = F.transform(F.sequence(F.lit(1), F.greatest(F.size(ws) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(ws, i, n), " "))
+    return F.when(F.size(ws) >= n, each).otherwise(F.array().cast("array<string>"))
+
+
 def _grams(ws: Column) -> Column:
     """Distinct words, and runs of two and three words."""
-    runs = [F.when(F.size(ws) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size(ws) - (n - 1), F.lit(1))), lambda i, n=n: F.array_join(F.slice(ws, i, n), " "))).otherwise(F.array().cast("array<string>")) for n in (2, 3)]
-    return F.array_distinct(F.concat(ws, *runs))
+    return F.array_distinct(F.concat(ws, _runs(ws, 2), _runs(ws, 3)))
 
 
 def _local(spark: SparkSession, rows: list[dict], ddl: str) -> DataFrame:

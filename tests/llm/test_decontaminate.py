@@ -1,7 +1,7 @@
 from orrery.llm.decontaminate import contaminated, decontaminated
 from orrery.llm.queries import OP3_SQL, op3_benchmark_decontamination
 
-from .oracle import same
+from tests.oracle import same
 
 
 def test_query_against_sql(spark, sf_dir):
