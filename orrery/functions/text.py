@@ -54,5 +54,6 @@ def json_object(c: Column) -> Column:
     """A JSON object in a model's answer: as it is, without a code fence, or from the first to the last brace; else null."""
     fence = F.regexp_extract(c, r"(?s)```(?:json)?\s*(.*?)```", 1)
     span = F.regexp_extract(c, r"(?s)(\{.*\})", 1)
+    bare = lambda x: F.trim(x, F.lit(" \n\r\t"))
     valid = lambda x: F.when(F.json_object_keys(x).isNotNull(), x)
-    return F.coalesce(valid(F.trim(c)), valid(F.trim(fence)), valid(span))
+    return F.coalesce(valid(bare(c)), valid(bare(fence)), valid(span))
