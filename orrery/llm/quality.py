@@ -71,31 +71,32 @@ def _logit(p: float) -> float:
 
 
 def _fit_head(shape: np.ndarray, docs: list[np.ndarray], y: np.ndarray, rounds: int = 300) -> Head:
-    flat, of = np.concatenate(docs), np.repeat(np.arange(len(docs)), [len(d) for d in docs])
-    pos = np.bincount(flat[y[of] > 0], minlength=_BUCKETS).astype(float)
-    all_ = np.bincount(flat, minlength=_BUCKETS).astype(float)
+    flat, of = np.concatenate(docs), np.repeat(np.arange(len(docs), dtype=np.int32), [len(d) for d in docs])
+    all_ = np.bincount(flat, minlength=_BUCKETS)
+    pos = np.bincount(flat[y[of] > 0], minlength=_BUCKETS)
     share = y.mean()
     seen = np.flatnonzero(all_ >= 5)
     chi = (pos[seen] - all_[seen] * share) ** 2 / (all_[seen] * share * (1 - share) + 1e-9)
     chosen = np.sort(seen[np.argsort(-chi, kind="stable")[:WORD_FEATURES]])
-    at = np.minimum(np.searchsorted(chosen, flat), max(0, len(chosen) - 1))
-    hit = chosen[at] == flat if len(chosen) else np.zeros(len(flat), bool)
+    # The words of a document are ones in a sparse matrix: (row, column) of each.
+    hit = np.isin(flat, chosen)
+    row, column = of[hit], np.searchsorted(chosen, flat[hit])
+    del flat, of
     centre, scale = shape.mean(axis=0), shape.std(axis=0) + 1e-6
-    x = np.zeros((len(docs), shape.shape[1] + len(chosen)), np.float32)
-    x[:, : shape.shape[1]] = (shape - centre) / scale
-    x[of[hit], shape.shape[1] + at[hit]] = 1
-    w, b, vw, vb = np.zeros(x.shape[1], np.float32), 0.0, np.zeros(x.shape[1], np.float32), 0.0
+    x = (shape - centre) / scale
+    n, k, m = len(y), x.shape[1], len(chosen)
+    w, b, vw, vb = np.zeros(k + m), 0.0, np.zeros(k + m), 0.0
     # Steps of a diagonal majorant of the loss, with momentum; the penalty keeps separable features finite.
-    step = 1.0 / (0.25 * (np.abs(x) * np.abs(x).sum(axis=1, keepdims=True)).mean(axis=0) + 1e-3)
-    for k in range(rounds):
-        m = k / (k + 3)
-        aw, ab = w + m * vw, b + m * vb
-        g = 1 / (1 + np.exp(-np.clip(x @ aw + ab, -30, 30))) - y
-        nw = aw - step * (x.T @ g.astype(np.float32) / len(y) + 1e-3 * aw)
+    size = np.abs(x).sum(axis=1) + np.bincount(row, minlength=n)
+    step = 1.0 / (0.25 * np.concatenate([np.abs(x).T @ size, np.bincount(column, size[row], minlength=m)]) / n + 1e-3)
+    for i in range(rounds):
+        aw, ab = w + i / (i + 3) * vw, b + i / (i + 3) * vb
+        z = x @ aw[:k] + np.bincount(row, aw[k:][column], minlength=n) + ab
+        g = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
+        nw = aw - step * (np.concatenate([x.T @ g, np.bincount(column, g[row], minlength=m)]) / n + 1e-3 * aw)
         nb = ab - 0.5 * float(g.mean())
         vw, vb, w, b = nw - w, nb - b, nw, nb
-    k = shape.shape[1]
-    return Head(w[:k].astype(float), {int(c): float(v) for c, v in zip(chosen, w[k:], strict=True) if abs(v) > 1e-4}, float(b), _logit(share), centre, scale)
+    return Head(w[:k], {int(c): float(v) for c, v in zip(chosen, w[k:], strict=True) if abs(v) > 1e-4}, float(b), _logit(share), centre, scale)
 
 
 def _featurise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
