@@ -276,11 +276,11 @@ def repeated_bytes_removed(docs: DataFrame, id_col: str = "doc_id", text_col: st
     if texts.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
         texts = texts.groupBy("id").agg(F.min("text").alias("text"))
     # Materialised, so that the join with it has exchanges of its own: those of frequent anchors can be split.
-    repeated = cut(texts.mapInPandas(_anchor_hashes(length), "hash long").groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"))
+    repeated = written(texts.mapInPandas(_anchor_hashes(length), "hash long").groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "repeated-anchors")
     pieces = texts.mapInPandas(_pieces(length), "hash long, digest long, doc long, packed long").join(repeated, "hash", "left_semi")
     pieces = written(pieces, "pieces")
     # An anchor's hash and a piece's digest, 128 bits together, tell a piece's content.
-    firsts = cut(pieces.groupBy("hash", "digest").agg(F.min(F.struct("doc", "packed")).alias("f")))
+    firsts = written(pieces.groupBy("hash", "digest").agg(F.min(F.struct("doc", "packed")).alias("f")), "first-pieces")
     shared = firsts.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1")
     judged = cut(firsts.join(shared, "hash").select("hash", "f.doc", "f.packed", (F.col("n") > hot).alias("hot")))
     n_cold = judged.where("not hot").count()
