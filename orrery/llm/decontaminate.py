@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orrery.functions.lineage import BROADCAST_ROWS, cut
+from orrery.functions.lineage import BROADCAST_ROWS, cut, lookup
 from orrery.llm.common import SPACE
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -65,7 +65,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     widths = [r["w"] for r in whole.select("w").distinct().collect()]  # at most `width` numbers
     if not widths:
         return docs.sparkSession.createDataFrame([], T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("item", benchmark.schema[item_col].dataType)])).selectExpr("id", "item", "0 as n_shingles", "0 as n_found", "0D as containment")
-    texts = docs.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("ws")).where("id is not null")
+    raw = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
+    texts = raw.select("id", words(F.col("text")).alias("ws"))
     # The candidate search sees one hash for each shingle; a text comes here once for each width that items have.
     hashes = None
     for w in sorted(widths):
@@ -76,8 +77,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     hit = hashes.join(F.broadcast(keys) if small else keys, ["w", "h"])
     candidates = cut(hit.select("id", "w", F.explode("items").alias("item")).distinct())
     # Exact containment, on candidate documents only: their shingles as words, against those of their candidate items.
-    wanted = candidates.groupBy("id").agg(F.collect_set("w").alias("widths"))
-    found = texts.join(wanted, "id").select("id", F.explode("widths").alias("w"), "ws").where(F.size("ws") >= F.col("w"))
+    wanted = cut(candidates.groupBy("id").agg(F.collect_set("w").alias("widths")))
+    found = lookup(raw, wanted, ["id"], "inner").select("id", F.explode("widths").alias("w"), words(F.col("text")).alias("ws")).where(F.size("ws") >= F.col("w"))
     grams = found.select("id", "w", F.explode(shingles(F.col("ws"), F.col("w"), lambda run: F.array_join(run, " "))).alias("gram")).distinct()
     have = candidates.join(whole, ["item", "w"]).join(grams, ["id", "w", "gram"])
     out = have.groupBy("id", "item").agg(F.first("size").alias("n_shingles"), F.count("*").cast("int").alias("n_found"))
