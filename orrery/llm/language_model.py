@@ -267,10 +267,10 @@ def _final(log_t, k: int, first: int):
     return run
 
 
-def _matrix(rows, n: int) -> np.ndarray:
-    out = np.zeros(n, np.int64)
-    for r in rows:
-        out[r["key"]] = r["n"]
+def _dense(counts: DataFrame, n: int) -> np.ndarray:
+    """A table (key, n) of at most n rows as an array; it comes in columns, as rows would take ten times the memory."""
+    t, out = counts.toArrow(), np.zeros(n, np.int64)
+    out[t["key"].to_numpy()] = t["n"].to_numpy()
     return out
 
 
@@ -307,8 +307,8 @@ def class_bigram_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     after = before = np.zeros((m, k + 1))
     for _ in range(passes):
         state = sc.broadcast((core, np.append(of, k)))
-        rows = train.mapInPandas(_contexts_of_core(state), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).collect()  # 2 * (core + 1) * (classes + 1) at most
-        both = _matrix(rows, 2 * (m + 1) * (k + 1)).reshape(2, m + 1, k + 1)[:, :m].astype(float)
+        found = train.mapInPandas(_contexts_of_core(state), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+        both = _dense(found, 2 * (m + 1) * (k + 1)).reshape(2, m + 1, k + 1)[:, :m].astype(float)
         after, before = both
         of = exchange(after, before, of, k)
 
@@ -339,7 +339,7 @@ def class_bigram_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     parts = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_score_block(model), "id long, held_out boolean, n_tokens long, n_known long, base_score double, emission double, classes binary")
     parts = written(parts, "class-sequences")
     first = 0 if counts[0] > 1 else (k if counts[0] == 1 else 2 * k)
-    rows = parts.where("not held_out").select("classes").mapInPandas(_transition_counts(k, first), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).collect()  # (2 * classes + 1) squared at most
-    log_t = transitions(_matrix(rows, (2 * k + 1) ** 2), k)
+    found = parts.where("not held_out").select("classes").mapInPandas(_transition_counts(k, first), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    log_t = transitions(_dense(found, (2 * k + 1) ** 2), k)
     done = parts.mapInPandas(_final(sc.broadcast(log_t), k, first), "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return done.select("id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
