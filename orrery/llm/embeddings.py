@@ -130,7 +130,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
         own = of_key.where(F.size("v") == length)
         n = own.count()
         k = max(1, min(MAX_CELLS, n // cell, n))
-        sample = _unit(own.orderBy(F.xxhash64("key")).limit(fit_rows).select("v").toPandas()["v"])
+        sample = _unit(own.orderBy(F.xxhash64("key")).limit(fit_rows).select("v").toArrow()["v"].to_pandas())
         cells = cut(own.select("node", "copies", "v").mapInPandas(_assign(_spherical_kmeans(sample, min(k, len(sample)))), "node long, copies long, cell int, angle double, u binary"))
         found.append(_links(spark, cells, sample, threshold, tile))
     if found:

@@ -111,12 +111,12 @@ def _featurise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def fit(docs: DataFrame, labels: DataFrame, heads: list[str], fit_rows: int = FIT_ROWS) -> Model:
     """Logistic models of the 0/1 columns ``heads`` of ``labels(id, ...)`` from ``docs(id, text)``."""
     known = labels.where(" and ".join(f"{h} in (0, 1)" for h in heads)).dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").limit(fit_rows)
-    rows = docs.join(F.broadcast(known), "id").select("text", *heads).mapInPandas(_featurise, "words binary, shape array<double>, " + ", ".join(f"{h} int" for h in heads)).toPandas()
-    if rows.empty:
+    rows = docs.join(F.broadcast(known), "id").select("text", *heads).mapInPandas(_featurise, "words binary, shape array<double>, " + ", ".join(f"{h} int" for h in heads)).toArrow()
+    if not rows.num_rows:
         return Model([])
-    shape = np.stack([np.asarray(s, float) for s in rows["shape"]])
-    words = [np.frombuffer(b, np.int32) for b in rows["words"]]
-    model = Model([_fit_head(shape, words, rows[h].to_numpy(float)) for h in heads])
+    shape = rows["shape"].combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1)
+    words = [np.frombuffer(b, np.int32) for b in rows["words"].to_pylist()]
+    model = Model([_fit_head(shape, words, rows[h].to_numpy().astype(float)) for h in heads])
     model.used = {f for h in model.heads for f in h.words}
     return model
 
