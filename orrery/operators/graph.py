@@ -31,15 +31,16 @@ def strongly_connected(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     for _ in range(max_rounds):
         if left.isEmpty():
             break
+        was = None
         labels = cut(left.select(F.col("src").alias("node")).unionAll(left.select(F.col("dst").alias("node"))).distinct().select("node", F.col("node").alias("fw"), F.col("node").alias("bw")))
         while True:
             fw = left.join(labels.select(F.col("node").alias("src"), "fw"), "src").select(F.col("dst").alias("node"), "fw", F.lit(None).cast(labels.schema["bw"].dataType).alias("bw"))
             bw = left.join(labels.select(F.col("node").alias("dst"), "bw"), "dst").select(F.col("src").alias("node"), F.lit(None).cast(labels.schema["fw"].dataType).alias("fw"), "bw")
-            new = cut(labels.unionByName(fw).unionByName(bw).groupBy("node").agg(F.min("fw").alias("fw"), F.min("bw").alias("bw")))
-            changed = not new.join(labels, ["node", "fw", "bw"], "left_anti").isEmpty()
-            labels = new
-            if not changed:
+            labels = cut(labels.unionByName(fw).unionByName(bw).groupBy("node").agg(F.min("fw").alias("fw"), F.min("bw").alias("bw")))
+            now = labels.agg(F.sum(F.xxhash64("node", "fw", "bw").cast("decimal(38,0)"))).first()[0]
+            if now == was:
                 break
+            was = now
         own = labels.where("fw = bw").select("node", F.col("fw").alias("scc"))
         done = own if done is None else done.unionByName(own)
         rest = labels.where("fw <> bw").select("node", F.struct("fw", "bw").alias("part"))
