@@ -70,18 +70,13 @@ def _logit(p: float) -> float:
     return math.log(p / (1 - p))
 
 
-def _fit_head(shape: np.ndarray, docs: list[np.ndarray], y: np.ndarray, rounds: int = 300) -> Head:
-    flat, of = np.concatenate(docs), np.repeat(np.arange(len(docs), dtype=np.int32), [len(d) for d in docs])
-    all_ = np.bincount(flat, minlength=_BUCKETS)
-    pos = np.bincount(flat[y[of] > 0], minlength=_BUCKETS)
+def _fit_head(shape: np.ndarray, docs: list[np.ndarray], y: np.ndarray, chosen: np.ndarray, rounds: int = 300) -> Head:
+    """Fit one label on the shapes and on the ``chosen`` word features of the documents."""
+    flat, of = np.concatenate(docs), np.repeat(np.arange(len(docs)), [len(d) for d in docs])
     share = y.mean()
-    seen = np.flatnonzero(all_ >= 5)
-    chi = (pos[seen] - all_[seen] * share) ** 2 / (all_[seen] * share * (1 - share) + 1e-9)
-    chosen = np.sort(seen[np.argsort(-chi, kind="stable")[:WORD_FEATURES]])
     # The words of a document are ones in a sparse matrix: (row, column) of each.
     hit = np.isin(flat, chosen)
     row, column = of[hit], np.searchsorted(chosen, flat[hit])
-    del flat, of
     centre, scale = shape.mean(axis=0), shape.std(axis=0) + 1e-6
     x = (shape - centre) / scale
     n, k, m = len(y), x.shape[1], len(chosen)
@@ -99,24 +94,60 @@ def _fit_head(shape: np.ndarray, docs: list[np.ndarray], y: np.ndarray, rounds:
     return Head(w[:k], {int(c): float(v) for c, v in zip(chosen, w[k:], strict=True) if abs(v) > 1e-4}, float(b), _logit(share), centre, scale)
 
 
-def _featurise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        out = []
-        for text in batch["text"]:
-            words = Counter((text or "").split())
-            out.append((np.array(sorted({f for w in words for f in _word_features(w)}), np.int32).tobytes(), _shape(text or "", words)))
-        yield pd.DataFrame(out, columns=["words", "shape"]).assign(**{c: batch[c].to_numpy() for c in batch.columns if c != "text"})
+def _features(text: str | None) -> tuple[Counter, set[int]]:
+    words = Counter((text or "").split())
+    return words, {f for w in words for f in _word_features(w)}
+
+
+def _feature_counts(heads: list[str]):
+    """For each feature the documents that have it, and those of them with each label; at -1 all documents."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sets = [np.fromiter(f, np.int64, len(f)) for f in (_features(t)[1] for t in batch["text"])]
+            key, at = np.unique(np.concatenate([np.append(s, -1) for s in sets]), return_inverse=True)
+            of = np.repeat(np.arange(len(sets)), [len(s) + 1 for s in sets])
+            yield pd.DataFrame({"feature": key, "n": np.bincount(at)} | {h: np.bincount(at, batch[h].to_numpy(float)[of]).astype(np.int64) for h in heads})
+
+    return run
+
+
+def _featurise(chosen: np.ndarray):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keep = set(chosen.tolist())
+        for batch in batches:
+            out = []
+            for text in batch["text"]:
+                words, features = _features(text)
+                out.append((np.array(sorted(features & keep), np.int64).tobytes(), _shape(text or "", words)))
+            yield pd.DataFrame(out, columns=["words", "shape"]).assign(**{c: batch[c].to_numpy() for c in batch.columns if c != "text"})
+
+    return run
 
 
 def fit(docs: DataFrame, labels: DataFrame, heads: list[str], fit_rows: int = FIT_ROWS) -> Model:
-    """Logistic models of the 0/1 columns ``heads`` of ``labels(id, ...)`` from ``docs(id, text)``."""
+    """Logistic models of the 0/1 columns ``heads`` of ``labels(id, ...)`` from ``docs(id, text)``.
+
+    Word features are counted by Spark, and those with the largest chi-squares chosen for each label; the driver gets the
+    sample's documents as these features only.
+    """
     known = labels.where(" and ".join(f"{h} in (0, 1)" for h in heads)).dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").limit(fit_rows)
-    rows = docs.join(F.broadcast(known), "id").select("text", *heads).mapInPandas(_featurise, "words binary, shape array<double>, " + ", ".join(f"{h} int" for h in heads)).toArrow()
-    if not rows.num_rows:
+    sample = docs.join(F.broadcast(cut(known)), "id").select("text", *heads)
+    counts = cut(sample.mapInPandas(_feature_counts(heads), "feature long, n long, " + ", ".join(f"{h} long" for h in heads)).groupBy("feature").agg(*(F.sum(c).alias(c) for c in ["n", *heads])).where("n >= 5 or feature < 0"))
+    total = counts.where("feature < 0").first()
+    if total is None:
         return Model([])
+    chosen = []
+    for h in heads:
+        share = F.lit(total[h] / total["n"])
+        chi = F.pow(F.col(h) - F.col("n") * share, 2) / (F.col("n") * share * (1 - share) + 1e-9)
+        top = counts.where("feature >= 0").select("feature", chi.alias("chi")).orderBy(F.desc("chi"), "feature").limit(WORD_FEATURES)
+        chosen.append(np.array(sorted(r["feature"] for r in top.collect()), np.int64))
+    every = np.unique(np.concatenate(chosen))
+    rows = sample.mapInPandas(_featurise(every), "words binary, shape array<double>, " + ", ".join(f"{h} int" for h in heads)).toArrow()
     shape = rows["shape"].combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1)
-    words = [np.frombuffer(b, np.int32) for b in rows["words"].to_pylist()]
-    model = Model([_fit_head(shape, words, rows[h].to_numpy().astype(float)) for h in heads])
+    words = [np.frombuffer(b, np.int64) for b in rows["words"].to_pylist()]
+    model = Model([_fit_head(shape, words, rows[h].to_numpy().astype(float), c) for h, c in zip(heads, chosen, strict=True)])
     model.used = {f for h in model.heads for f in h.words}
     return model
 
