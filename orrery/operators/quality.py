@@ -43,3 +43,14 @@ def fused_importance(modules: DataFrame) -> DataFrame:
     """``path, fused`` of the modules ``(path, role, degree)`` with a role, by falling importance, then path."""
     ranked = degree_rank(modules.where("role is not null"))
     return ranked.select("path", "role", "degree", (ROLE_SHARE * F.col("role") / ROLES + DEGREE_SHARE * F.col("rank")).alias("fused"))
+
+
+def directory_granular(modules: DataFrame) -> DataFrame:
+    """One row ``directories``: whether more than half of the modules' names have no dot; null without modules."""
+    name = F.substring_index(F.regexp_replace("path", "/+$", ""), "/", -1)
+    return modules.agg((F.avg(F.when(F.contains(name, F.lit(".")), 0.0).otherwise(1.0)) > 0.5).alias("directories"))
+
+
+def importance_summary(modules: DataFrame, k: int = 3) -> DataFrame:
+    """The k most important modules by :func:`fused_importance`."""
+    return fused_importance(modules).orderBy(F.desc("fused"), "path").limit(k)

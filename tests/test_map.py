@@ -82,6 +82,8 @@ def test_null_ratios_and_single_degree(spark):
     one = spark.createDataFrame([("a", 3.0, 5), ("b", 1.5, None), ("c", None, 9)], "path string, role double, degree long")
     got = {r["path"]: r["fused"] for r in quality.fused_importance(one).collect()}
     assert got == {"a": pytest.approx(1.0), "b": pytest.approx(0.3)}
+    assert quality.directory_granular(one).first()[0] is True and quality.directory_granular(one.where("false")).first()[0] is None
+    assert [r["path"] for r in quality.importance_summary(one, 1).collect()] == ["a"]
     got = quality.fused_importance(one.where("path = 'b'")).first()
     assert got["fused"] == pytest.approx(0.7)
 
