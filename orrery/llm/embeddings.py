@@ -124,7 +124,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     # Equal vectors meet by their bits; -0.0 equals 0.0.
     rows = rows.withColumn("v", F.transform("v", lambda x: F.when(x == 0, 0.0).otherwise(x))).withColumn("key", F.when(F.col("v").isNotNull() & F.col("id").isNotNull(), F.sha2(F.to_json("v"), 256)))
     of_key = cut(rows.where("key is not null").groupBy("key").agg(F.min("id").alias("node"), F.count("*").alias("copies"), F.first("v").alias("v")))
-    lengths = [r[0] for r in of_key.select(F.size("v")).distinct().limit(64).collect()]
+    lengths = [r[0] for r in of_key.select(F.size("v")).distinct().collect()]
     found = []
     for length in sorted(lengths):
         own = of_key.where(F.size("v") == length)
