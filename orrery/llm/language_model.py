@@ -42,15 +42,13 @@ def _sequence(texts, number) -> np.ndarray:
     return np.array(out, np.int64)
 
 
-def _top_words(n: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            c: Counter = Counter()
-            for t in batch["text"]:
-                c.update(ascii_words(t))
-            yield pd.DataFrame([(w.decode("utf-8", "replace"), k) for w, k in c.most_common(n)], columns=["word", "n"])
-
-    return run
+def _word_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        c: Counter = Counter()
+        for t in batch["text"]:
+            c.update(ascii_words(t))
+        if c:
+            yield pd.DataFrame({"word": [w.decode("utf-8", "replace") for w in c], "n": list(c.values())})
 
 
 def _contexts_of_core(model):
@@ -298,8 +296,8 @@ def class_bigram_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     train = texts.where("not held_out").select("text")
     n_train = train.count()
 
-    # The most frequent words: sums over the batches' own most frequent words; only which words are exchanged depends on it.
-    top = train.mapInPandas(_top_words(4 * core_words), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(core_words).collect()
+    # The most frequent words, by counts over all training texts; only which words are exchanged depends on them.
+    top = train.mapInPandas(_word_counts, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(core_words).collect()
     core: dict[bytes, int] = {END: 0} | {r["word"].encode("utf-8"): i + 1 for i, r in enumerate(top)}
     m, k = len(core), max(2, min(classes, len(core) - 1, 100))
     # The end and the most frequent words start with classes of their own, the others share the last one.
