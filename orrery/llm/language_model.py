@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import batched
 
 import numpy as np
 import pandas as pd
@@ -21,6 +22,8 @@ PASSES, SWEEPS = 3, 2
 #: Bytes of text whose vocabulary is looked up together.
 BLOCK = 24 << 20
 SLICE = 512
+#: Words that travel back from a batch at a time, so that their copies on the way stay small.
+PIECE = 32_768
 END = b""  # no word is empty
 
 
@@ -47,8 +50,8 @@ def _word_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c: Counter = Counter()
         for t in batch["text"]:
             c.update(ascii_words(t))
-        if c:
-            yield pd.DataFrame({"word": [w.decode("utf-8", "replace") for w in c], "n": list(c.values())})
+        for part in batched(c.items(), PIECE):
+            yield pd.DataFrame({"word": [w.decode("utf-8", "replace") for w, _ in part], "n": [k for _, k in part]})
 
 
 def _contexts_of_core(model):
@@ -129,12 +132,15 @@ def _contexts_of_others(model):
                 continue
             cls = of[np.minimum(ids, m)]
             own = ids[at] - m
+            times, words = np.bincount(own), list(number)[m:]
             key, n = np.unique(np.concatenate([own * (2 * k) + cls[at - 1], own * (2 * k) + k + cls[at + 1]]), return_counts=True)
+            del number, ids, at, cls, own
             rows = np.zeros(len(key), _CONTEXT)
             rows["c"], rows["n"] = key % (2 * k), n
-            raw, words = rows.tobytes(), list(number)[m:]
-            cut = np.searchsorted(key // (2 * k), np.arange(len(words) + 1)) * _CONTEXT.itemsize
-            yield pd.DataFrame({"word": [w.decode("utf-8", "replace") for w in words], "n": np.bincount(own, minlength=len(words)), "ctx": [raw[s:e] for s, e in zip(cut[:-1], cut[1:], strict=True)]})
+            cut = np.searchsorted(key, np.arange(len(words) + 1) * (2 * k))
+            for s in range(0, len(words), PIECE):
+                part = words[s : s + PIECE]
+                yield pd.DataFrame({"word": [w.decode("utf-8", "replace") for w in part], "n": times[s : s + PIECE], "ctx": [rows[a:b].tobytes() for a, b in zip(cut[s:], cut[s + 1 : s + 1 + len(part)], strict=False)]})
 
     return run
 
@@ -178,7 +184,8 @@ def _asked_words(model):
                 for t in rows["text"]:
                     words.update(ascii_words(t))
                 words.difference_update(core)
-                yield pd.DataFrame({"block": block, "word": [w.decode("utf-8", "replace") for w in words]})
+                for part in batched(words, PIECE):
+                    yield pd.DataFrame({"block": block, "word": [w.decode("utf-8", "replace") for w in part]})
 
     return run
 
