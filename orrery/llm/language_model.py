@@ -338,7 +338,8 @@ def class_bigram_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # A block of texts and the vocabulary that it uses meet in one task.
     n_bytes = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = texts.withColumn("block", F.pmod(F.xxhash64("id", F.length("text")), F.lit(max(1, math.ceil(n_bytes / block_bytes)))).cast("int")).repartition("block")
-    asked = blocks.select("block", "text").mapInPandas(_asked_words(sc.broadcast(core)), "block int, word string")
+    # All columns go along, so that both readers of the blocks share one exchange of the texts.
+    asked = blocks.mapInPandas(_asked_words(sc.broadcast(core)), "block int, word string")
     answers = asked.join(others, "word").select("block", "word", "n", "cls")
     model = sc.broadcast((core, counts, of, class_size, total, distinct))
     parts = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_score_block(model), "id long, held_out boolean, n_tokens long, n_known long, base_score double, emission double, classes binary")
