@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,25 +10,25 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.functions.lineage import cut
+from orrery.functions.lineage import cut, lookup
 from orrery.llm.common import by_batch
-from orrery.operators.components import connected_components
+from orrery.llm.components import connected_components
 
-#: Vectors that the centroids are fitted on, at most (those with the smallest hashes).
-FIT_ROWS = 20_000
-#: Vectors for each cell, before splitting into tiles.
-CELL = 4096
+#: Vectors that the centroids are fitted on, at least (those with the smallest hashes), and for each centroid.
+FIT_ROWS, FIT_EACH = 20_000, 8
 #: Vectors in a tile.
-TILE = 1024
-#: Cells at most: the table of cells is held by the driver.
-MAX_CELLS = 1024
+TILE = 512
+#: How far a vector looks over its cell's borders, in standard deviations of how partners differ along a direction.
+REACH = 2.5
+#: Vectors of the sample that a length must have for cells of its own.
+LEAST_SAMPLE = 16
 
 
 def _spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     rng = np.random.default_rng(7)
     c = x[rng.choice(len(x), k, replace=False)]
     for _ in range(rounds):
-        home = np.argmax(x @ c.T, axis=1)
+        home = np.concatenate([np.argmax(x[i : i + 4096] @ c.T, axis=1) for i in range(0, len(x), 4096)])
         sums = np.zeros_like(c)
         np.add.at(sums, home, x)
         norm = np.linalg.norm(sums, axis=1)
@@ -49,12 +50,46 @@ def _unit(rows: pd.Series) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _assign(centroids: np.ndarray):
+def _spread(x: np.ndarray, centroids: np.ndarray) -> float:
+    """Standard deviation, along the direction where it is largest, of the unit differences of vectors from their centroids."""
+    if x.shape[1] > 4096:
+        return 1.0
+    home = np.concatenate([np.argmax(x[i : i + 4096] @ centroids.T, axis=1) for i in range(0, len(x), 4096)])
+    apart = x - centroids[home]
+    size = np.linalg.norm(apart, axis=1)
+    apart = apart[size > 1e-9] / size[size > 1e-9, None]
+    return math.sqrt(float(np.linalg.eigvalsh(apart.T @ apart / len(apart))[-1])) if len(apart) else 1.0
+
+
+def cells_of(x: np.ndarray, centroids: np.ndarray, slope: float) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The home cell of each unit vector, and the cells of larger number in which a partner may be at home.
+
+    A partner that differs by the angle whose tangent is ``slope`` (or less, along the line between two centroids) crosses
+    the border to a cell if the vector's distance to that border is no more than ``slope`` times the centroids' distance.
+    """
+    cos = x @ centroids.T
+    home = np.argmax(cos, axis=1)
+    apart = np.sqrt(np.maximum(2 - 2 * (centroids @ centroids.T), 0))
+    near = cos[np.arange(len(x)), home][:, None] - cos <= slope * apart[home] + 1e-9
+    near &= np.arange(len(centroids))[None, :] > home[:, None]
+    return home, [np.flatnonzero(r) for r in near]
+
+
+def _assign(centroids):
+    """Home cells and visited cells; vectors of a length without centroids share one cell."""
+
     def batch(rows: pd.DataFrame) -> pd.DataFrame:
-        x = _unit(rows["v"])
-        cos = x @ centroids.T
-        home = np.argmax(cos, axis=1)
-        return pd.DataFrame({"node": rows["node"], "copies": rows["copies"], "cell": home.astype(np.int32), "angle": np.arccos(np.clip(cos[np.arange(len(x)), home], -1, 1)), "u": [r.tobytes() for r in x]})
+        out = []
+        for length, same in rows.groupby(rows["v"].map(len), sort=False):
+            x = _unit(same["v"])
+            if length in centroids.value:
+                c, slope = centroids.value[length]
+                parts = [cells_of(x[i : i + 1024], c, slope) for i in range(0, len(x), 1024)]
+                home, visits = np.concatenate([p[0] for p in parts]), [v for p in parts for v in p[1]]
+            else:
+                home, visits = np.zeros(len(x), int), [np.zeros(0, int)] * len(x)
+            out.append(pd.DataFrame({"node": same["node"], "copies": same["copies"], "length": length, "home": home.astype(np.int32), "visits": [v.astype(np.int32) for v in visits], "u": [r.tobytes() for r in x]}))
+        return pd.concat(out)
 
     return by_batch(batch)
 
@@ -78,7 +113,9 @@ def _tile(row, threshold: float) -> Iterator[pd.DataFrame]:
     wa, wb = np.asarray(row.copies), np.asarray(row.copies2)
     x, y = _matrix(row.us), _matrix(row.us2)
     # A product in single precision rules out all but the pairs near or above the threshold; those are judged in double.
-    i, j = np.nonzero(x.astype(np.float32) @ y.astype(np.float32).T >= threshold - 1e-4)
+    # Its error is under one rounding for each component, and those of the two vectors.
+    margin = 2.0**-23 * (x.shape[1] + 4)
+    i, j = np.nonzero(x.astype(np.float32) @ y.astype(np.float32).T >= threshold - margin)
     if row.same:
         i, j = i[a[i] < b[j]], j[a[i] < b[j]]
     if not len(i):
@@ -106,75 +143,83 @@ def _tile(row, threshold: float) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"node": nodes[touched], "links": degree[touched], "root": nodes[label[touched]]})
 
 
-def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, fit_rows: int = FIT_ROWS, cell: int = CELL, tile: int = TILE) -> DataFrame:
-    """Links of vectors whose cosine is at least ``threshold``, and the groups that they make.
+def fitted_cells(vectors: DataFrame, threshold: float, fit_rows: int = FIT_ROWS, reach: float = REACH, exact: bool = False) -> dict[int, tuple[np.ndarray, float]]:
+    """Centroids and slope (see ``cells_of``) for each length of vectors(key, v) that the sample has enough of.
 
-    Spherical k-means (fitted on at most ``fit_rows`` vectors, those with the smallest hashes) deals the distinct vectors
-    into cells. Blocked cosine products compare the tiles of a cell with each other and with those of every cell that can
-    hold a partner: cells whose centroids' angle exceeds both radii plus the threshold's angle cannot, and are skipped. So
-    no link is lost at a cell's border. Equal vectors are compared once and count as many times as they occur.
+    There are as many cells as vectors in each, the square root of their number, so cells and centroids grow alike; what the
+    driver holds grows with the root only: the sample has ``fit_rows`` rows, or ``FIT_EACH`` for each centroid if that is
+    more. A partner's difference is taken to be spread over directions as unevenly as those of vectors from their centroids.
+    """
+    counts = vectors.groupBy(F.size("v").alias("length")).agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    rows = max(fit_rows, FIT_EACH * int(math.sqrt(total)))
+    sample = vectors.orderBy(F.xxhash64("key"), "key").limit(rows).select("v").toArrow()["v"].to_pandas()
+    by_length = {n: _unit(v) for n, v in sample.groupby(sample.map(len)) if len(v) >= LEAST_SAMPLE}
+    if not by_length:
+        return {}
+    known = {r["length"]: r["n"] for r in counts.where(F.col("length").isin(list(by_length))).collect()}
+    out = {}
+    for length, x in by_length.items():
+        k = max(1, min(int(math.sqrt(known[length])), len(x) // 2))
+        c = _spherical_kmeans(x, k)
+        slope = math.sqrt(1 - threshold**2) / threshold * (1.0 if exact else min(1.0, reach * _spread(x, c)))
+        out[length] = (c, slope)
+    return out
+
+
+def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9, fit_rows: int = FIT_ROWS, tile: int = TILE, reach: float = REACH, exact: bool = False) -> DataFrame:
+    """Links of vectors whose cosine is at least ``threshold`` (over 0), and the groups that they make.
+
+    Spherical k-means deals the distinct vectors into cells (``fitted_cells``). Each vector also visits the cells in which
+    its partners may be at home: those to whose border its distance is within what a partner's difference reaches along a
+    direction, ``reach`` standard deviations of it. Blocked cosine products compare the members of a cell with each other
+    and with its visitors. With ``exact``, a vector visits every cell that any partner could be in, so no link can be lost;
+    without it, one is lost if the partner differs mostly along the line between two centroids (tests compare with brute
+    force). Equal vectors are compared once and count as many times as they occur.
 
     Returns one row per input row: ``id, n_links`` (other rows linked directly), ``component_id`` (the smallest id that
     links reach, itself included), ``kept`` (id = component_id). Vectors that are null, zero, hold a null or non-finite
-    component, or differ in length from the others' link with none (vectors of each length are compared among themselves).
-    A null id makes a row of its own with nulls. Repeated ids are separate rows of one node. No rows give no rows.
+    component, or differ in length from the others' link with none (vectors of each length are compared among themselves;
+    those of a length that is rare in the sample in one cell). A null id makes a row of its own with nulls. Rows of one id
+    have the links of their own vectors each, and are one in components. No rows give no rows.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), _vector(vector_col).alias("v"))
     # Equal vectors meet by their bits; -0.0 equals 0.0.
     rows = rows.withColumn("v", F.transform("v", lambda x: F.when(x == 0, 0.0).otherwise(x))).withColumn("key", F.when(F.col("v").isNotNull() & F.col("id").isNotNull(), F.sha2(F.to_json("v"), 256)))
-    of_key = cut(rows.where("key is not null").groupBy("key").agg(F.min("id").alias("node"), F.count("*").alias("copies"), F.first("v").alias("v")))
-    lengths = [r[0] for r in of_key.select(F.size("v")).distinct().collect()]
-    found = []
-    for length in sorted(lengths):
-        own = of_key.where(F.size("v") == length)
-        n = own.count()
-        k = max(1, min(MAX_CELLS, n // cell, n))
-        sample = _unit(own.orderBy(F.xxhash64("key")).limit(fit_rows).select("v").toArrow()["v"].to_pandas())
-        cells = cut(own.select("node", "copies", "v").mapInPandas(_assign(_spherical_kmeans(sample, min(k, len(sample)))), "node long, copies long, cell int, angle double, u binary"))
-        found.append(_links(spark, cells, sample, threshold, tile))
-    if found:
-        links = found[0]
-        for other in found[1:]:
-            links = links.unionByName(other)
-        links = cut(links)
-        of_node = links.groupBy("node").agg(F.sum("links").alias("links"))
-        comps = connected_components(links, "node", "root")
-        of_node = of_node.join(comps, "node", "left")
-        nodes = of_key.select("key", "node", "copies").join(of_node, "node", "left")
-        out = rows.drop("v").join(nodes, "key", "left")
-    else:
-        out = rows.drop("v").withColumns({"node": F.lit(None).cast("long"), "copies": F.lit(1), "links": F.lit(0), "component": F.lit(None).cast("long")})
-    out = out.withColumn("component_id", F.coalesce("component", "node", "id"))
-    return out.select("id", F.when(F.col("id").isNotNull(), F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).cast("long").alias("n_links"), "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
-
-
-def _links(spark, cells: DataFrame, sample: np.ndarray, threshold: float, tile: int) -> DataFrame:
+    of_key = cut(rows.where("key is not null").groupBy("key").agg(F.min("id").alias("smallest"), F.count("*").alias("copies"), F.first("v").alias("v")))
+    # A vector's own number is its smallest id, and another one if that id has several vectors.
+    nodes = of_key.withColumn("node", F.xxhash64("key"))
+    state = spark.sparkContext.broadcast(fitted_cells(of_key.select("key", "v"), threshold, fit_rows, reach, exact))
+    cells = cut(nodes.select("node", "copies", "v").mapInPandas(_assign(state), "node long, copies long, length int, home int, visits array<int>, u binary"))
+    links = cut(_links(cells, threshold, tile))
+    of_node = links.groupBy("node").agg(F.sum("links").alias("links"))
+    # Components of ids: a vector's rows are joined by its smallest id.
+    smallest = nodes.select("node", "smallest")
+    ends = links.select("node", "root").where("node <> root").join(smallest, "node").join(smallest.select(F.col("node").alias("root"), F.col("smallest").alias("other")), "root").select(F.col("smallest").alias("a"), F.col("other").alias("b"))
+    several = rows.where("key is not null").select("key", "id").distinct().join(of_key.select("key", "smallest"), "key").where("id <> smallest").select(F.col("id").alias("a"), F.col("smallest").alias("b"))
+    comps = connected_components(ends.unionByName(several))
+    per_row = rows.select("id", "key").join(nodes.select("key", "node", "copies"), "key", "left").join(of_node, "node", "left")
+    per_row = per_row.withColumn("n", F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1)
+    out = per_row.join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("component_id", F.coalesce("component", "id"))
+    return out.select("id", F.when(F.col("id").isNotNull(), F.col("n")).cast("long").alias("n_links"), "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+
+
+def _links(cells: DataFrame, threshold: float, tile: int) -> DataFrame:
     """``node, links, root`` for each pair of tiles: a node's linked rows there, and the smallest node of its group there."""
-    # Centres and radii of at most MAX_CELLS cells; a centre is any unit vector, so the mean of the cell serves.
-    shape = cells.groupBy("cell").agg(F.count("*").alias("n"), F.min(F.struct("angle", "u")).alias("centre")).collect()
-    ids = [r["cell"] for r in shape]
-    centre = _matrix([r["centre"]["u"] for r in shape]) if shape else np.zeros((0, 1))
-    seat = {r["cell"]: bytes(r["centre"]["u"]) for r in shape}
-
-    def radius(batch: pd.DataFrame) -> pd.DataFrame:
-        cos = [float(np.frombuffer(u, np.float64) @ np.frombuffer(seat[c], np.float64)) for u, c in zip(batch["u"], batch["cell"], strict=True)]
-        return pd.DataFrame({"cell": batch["cell"], "r": np.arccos(np.clip(cos, -1, 1))}).groupby("cell", as_index=False)["r"].max()
-
-    wide = {r["cell"]: r["r"] for r in cells.select("cell", "u").mapInPandas(by_batch(radius), "cell int, r double").groupBy("cell").agg(F.max("r").alias("r")).collect()}
-    r = np.array([wide[c] for c in ids])
-    apart = np.arccos(np.clip(centre @ centre.T, -1, 1))
-    meet = apart <= r[:, None] + r[None, :] + np.arccos(threshold) + 1e-9
-    partners = [(c, [ids[q] for q in np.flatnonzero(meet[p]) if ids[q] >= c], -(-row["n"] // tile)) for p, (c, row) in enumerate(zip(ids, shape, strict=True))]
-    plan = spark.createDataFrame(partners, "cell int, partners array<int>, chunks long")
+    cell = ["length", "cell"]
+    home = cells.select("length", F.col("home").alias("cell"), F.lit(False).alias("visitor"), "node", "copies", "u")
+    away = cells.select("length", F.explode("visits").alias("cell"), F.lit(True).alias("visitor"), "node", "copies", "u")
+    both = home.unionByName(away)
+    sizes = cut(both.groupBy(*cell, "visitor").agg(F.ceil(F.count("*") / tile).cast("int").alias("chunks")))
     tiles = (
-        cells.join(F.broadcast(plan), "cell")
+        lookup(both, sizes, [*cell, "visitor"], "inner")
         .withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks").cast("int"))
-        .groupBy("cell", "chunk")
-        .agg(F.first("partners").alias("partners"), F.collect_list(F.struct("node", "copies", "u")).alias("m"))
-        .select("cell", "chunk", "partners", F.col("m.node").alias("nodes"), F.col("m.copies").alias("copies"), F.col("m.u").alias("us"))
+        .groupBy(*cell, "visitor", "chunk")
+        .agg(F.collect_list(F.struct("node", "copies", "u")).alias("m"))
+        .select(*cell, "visitor", "chunk", F.col("m.node").alias("nodes"), F.col("m.copies").alias("copies"), F.col("m.u").alias("us"))
     )
-    left = tiles.select("chunk", "nodes", "copies", "us", F.explode("partners").alias("key"), "cell").withColumn("own", F.col("key") == F.col("cell")).drop("cell")
-    right = tiles.select(F.col("cell").alias("key"), F.col("chunk").alias("chunk2"), F.col("nodes").alias("nodes2"), F.col("copies").alias("copies2"), F.col("us").alias("us2"))
-    pairs = left.join(right, "key").where("not own or chunk <= chunk2").withColumn("same", F.expr("own and chunk = chunk2"))
+    left = tiles.where("not visitor").drop("visitor")
+    right = tiles.select(*cell, F.col("visitor").alias("visitor2"), F.col("chunk").alias("chunk2"), F.col("nodes").alias("nodes2"), F.col("copies").alias("copies2"), F.col("us").alias("us2"))
+    pairs = left.join(right, cell).where("visitor2 or chunk <= chunk2").withColumn("same", F.expr("not visitor2 and chunk = chunk2"))
     return pairs.select("nodes", "copies", "us", "nodes2", "copies2", "us2", "same").mapInPandas(_compare(threshold), "node long, links long, root long")

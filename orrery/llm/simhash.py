@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from orrery.functions.lineage import cut
 from orrery.llm.common import ascii_words, by_batch
-from orrery.operators.components import connected_components
+from orrery.llm.components import connected_components
 
 #: Fingerprints in a tile; 2,048 x 2,048 comparisons take some 40 MB at a time.
 TILE = 2048

@@ -1,5 +1,6 @@
 import numpy as np
 
+from orrery.llm import embeddings as E
 from orrery.llm.embeddings import near_vectors
 from orrery.llm.queries import op7_embedding_near_dedup
 
@@ -29,11 +30,46 @@ def test_against_brute_force_with_many_small_cells(spark):
     ids = list(range(100, 100 + len(x)))
     df = spark.createDataFrame(list(zip(ids, x.tolist(), strict=True)), "vec_id long, embedding array<double>")
     want = brute(ids, list(x))
-    assert rows(near_vectors(df, cell=6, tile=4)) == want
+    assert rows(near_vectors(df, tile=4, exact=True)) == want
     assert rows(near_vectors(df)) == want
     assert sum(k for k, _, _ in want.values()) > 20
 
 
+def test_recall_and_share_of_pairs_with_many_cells(spark):
+    """Against brute force: links over borders of some 100 cells; the share of pairs that are compared falls with the cells."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(9000, 64))
+    noise = rng.normal(size=(1500, 64)) * np.linalg.norm(x[:1500], axis=1, keepdims=True) / 8
+    x = np.concatenate([x, x[:1500] + noise * rng.uniform(0.1, 0.48, size=(1500, 1))])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {(i, 9000 + j) for i in range(1500) for j in range(1500) if i == j and unit[i] @ unit[9000 + j] >= 0.9}
+    gram = unit @ unit.T
+    assert {(int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(gram >= 0.9, 1)), strict=True)} == want and len(want) > 1300
+    shares = []
+    for k in (12, 50, 102):
+        c = E._spherical_kmeans(unit, k)
+        slope = np.sqrt(1 - 0.81) / 0.9 * min(1.0, E.REACH * E._spread(unit, c))
+        home, visits = E.cells_of(unit, c, slope)
+        size = np.bincount(home, minlength=k)
+        shares.append((size @ (size - 1) / 2 + sum(size[v].sum() for v in visits)) / (len(unit) * (len(unit) - 1) / 2))
+        met = sum(home[i] == home[j] or max(home[i], home[j]) in visits[i if home[i] < home[j] else j] for i, j in want)
+        print(f"{k} cells: {shares[-1]:.3f} of the pairs compared, {met / len(want):.4f} of the links met")
+        assert met >= 0.995 * len(want)
+    assert shares[0] > shares[1] > shares[2]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = rows(near_vectors(df))
+    assert sum(n for n, _, _ in got.values()) >= 2 * 0.995 * len(want)
+    assert all(got[j][1] in (i, j) for i, j in want)
+
+
+def test_repeated_ids_and_ties(spark):
+    a, b, c = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
+    df = spark.createDataFrame([(1, a), (1, b), (2, b), (3, a), (3, a), (4, c), (None, a), (None, None)], "vec_id long, embedding array<double>")
+    got = sorted((str(r["id"]), str(r["n_links"]), str(r["component_id"]), str(r["kept"])) for r in near_vectors(df).collect())
+    one = [("1", "1", "1", "True"), ("1", "2", "1", "True"), ("2", "1", "1", "False"), ("3", "2", "1", "False"), ("3", "2", "1", "False"), ("4", "0", "4", "True")]
+    assert got == sorted([*one, ("None", "None", "None", "None"), ("None", "None", "None", "None")])
+
+
 def test_odd_vectors(spark):
     data = [(1, None), (2, [0.0, 0.0]), (3, [float("nan"), 1.0]), (4, [None, 1.0]), (5, [1.0, 0.0]), (6, [2.0, 0.0]), (7, [1.0, -0.0]), (8, [float("inf"), 0.0]), (9, [1.0]), (11, []), (12, [1e-200, 0.0])]
     df = spark.createDataFrame([(i, v, "x") for i, v in data], "vec_id long, embedding array<double>, node string")

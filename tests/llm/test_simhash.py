@@ -54,7 +54,7 @@ def test_links_find_every_pair_within_the_radius(spark):
     want = brute_components(fps)
     for tile in (4, 2048):
         nodes = spark.createDataFrame(list(enumerate(signed)), "id long, fp long")
-        from orrery.operators.components import connected_components
+        from orrery.llm.components import connected_components
 
         got = {r["node"]: r["component"] for r in connected_components(simhash.simhash_links(nodes, 3, tile)).collect()}
         assert [got.get(i, i) for i in range(len(fps))] == want
