@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from orrery.llm import licences as L
 from orrery.llm.queries import op5_licence_scans
@@ -14,7 +15,7 @@ LINES = {
 
 @pytest.fixture(scope="module")
 def classifier(spark):
-    return L.train(spark, spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    return L.train(spark)
 
 
 def test_query_finds_every_licence_line(spark, sf_dir, classifier):
@@ -32,18 +33,32 @@ def test_query_finds_every_licence_line(spark, sf_dir, classifier):
     assert "Python" not in plan and "Arrow" not in plan
 
 
-def test_held_out_sentences(spark, classifier):
-    held = L.training_paragraphs(spark).where("fold = 0").select("text", "family").distinct()
-    got = classifier.labelled(classifier.scores(held, ["text", "family"]).withColumnRenamed("family", "true")).select("true", "family").collect()
+def test_the_documents_own_sentences_teach_nothing(spark):
+    stock = {r["text"] for r in L.training_paragraphs(spark).collect()}
+    assert not stock & set(LINES) and not any(x.rstrip(".") in t for x in LINES for t in stock if "Version 2.0 (the" not in t)
+
+
+def test_held_out_wordings_and_licences(spark):
+    classifier = L.train(spark, whole=False)
+    held = L.training_paragraphs(spark).where(F.col("fold") == L.TEST).select("text", F.col("family").alias("true")).distinct()
+    scored = classifier.labelled(classifier.scores(held, ["text", "true"]))
+    got = held.join(scored.select("text", "true", "family", "probability"), ["text", "true"], "left").fillna({"family": "none"}).collect()
     known = [r for r in got if r["true"] not in ("unknown", "none")]
     strange = [r for r in got if r["true"] == "unknown"]
-    assert len(known) > 200 and sum(r["true"] == r["family"] for r in known) / len(known) > 0.95
-    assert sum(r["family"] == "unknown" for r in strange) / len(strange) > 0.8
+    none = [r for r in got if r["true"] == "none"]
+    share = lambda rows: sum(r["true"] == r["family"] for r in rows) / len(rows)
+    sure = [r for r in known if r["family"] == r["true"]]
+    print(f"held out: {len(known)} of known families {share(known):.3f}, {len(strange)} strange {share(strange):.3f}, {len(none)} without licence {share(none):.3f}; mean probability {sum(r['probability'] for r in sure) / len(sure):.3f}; temperature {classifier.temperature}, thresholds {classifier.threshold} {classifier.none}")
+    for r in got:
+        if r["true"] != r["family"]:
+            print(r["true"], r["family"], r["probability"], r["text"])
+    assert len(known) > 200 and share(known) > 0.95
+    assert share(strange) > 0.8 and share(none) > 0.8
 
 
 def test_odd_rows(spark, classifier):
-    rows = [(1, None, "x"), (2, "", "x"), (None, "a\n\nReleased under the MIT License.", "x"), (3, "Released under the MIT License.", "x"), (3, "Released under the MIT License.", "x"), (4, "He lost his driving licence on the way home.\n" + "long " * 50_000, "x"), (5, "Permission is hereby granted, free of charge, to any person obtaining a copy of this software", "x")]
+    rows = [(1, None, "x"), (2, "", "x"), (None, "a\n\nReleased under the MIT License.", "x"), (3, "Released under the MIT License.", "x"), (3, "Released under the MIT License.", "x"), (4, "He lost his driving licence on the way home.\n" + "long " * 50_000, "x"), (5, "Permission is hereby granted, free of charge, to any person obtaining a copy of this software", "x"), (6, "Available under the Rosebud Public License, version 9.", "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, family string")
     got = sorted({(str(r["id"]), r["paragraph"], r["family"]) for r in L.licence_paragraphs(df, classifier=classifier).collect()})
-    assert got == [("3", 0, "MIT"), ("5", 0, "MIT"), ("None", 2, "MIT")]
+    assert got == [("3", 0, "MIT"), ("5", 0, "MIT"), ("6", 0, "unknown"), ("None", 2, "MIT")]
     assert L.licence_paragraphs(df.where("false"), classifier=classifier).count() == 0
