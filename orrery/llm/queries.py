@@ -99,8 +99,9 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     third = F.floor(F.coalesce(F.length("text"), F.lit(0)) / 3).cast("int")
     edit = lambda start, end, text: F.struct(start.alias("start"), end.alias("end"), F.lit(text).alias("text"))
     edits = F.array(edit(third, third + 5, ""), edit(2 * third, 2 * third, " [edited] "))
-    found = token_counts.edited_counts(docs.select("doc_id", "text", edits.alias("edits")), str(TOKENIZERS / "byte_bpe_50k.json"))
-    return found.select(F.col("id").alias("doc_id"), "n_pre_tokens", "n_tokens", "n_tokens_edited", "n_reencoded")
+    path = str(TOKENIZERS / "byte_bpe_50k.json")
+    found = token_counts.edited_trees(token_counts.counted_trees(docs.select("doc_id", "text", edits.alias("edits")), path, edits_col="edits"), path)
+    return found.select(F.col("id").alias("doc_id"), F.col("n_pre_tokens_before").alias("n_pre_tokens"), F.col("n_tokens_before").alias("n_tokens"), F.col("n_tokens").alias("n_tokens_edited"), "n_reencoded")
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

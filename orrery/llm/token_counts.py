@@ -40,11 +40,15 @@ class PreTokenCounter:
 class CountTree:
     """Leaves hold the lengths and token counts of some pre-tokens; inner nodes the sums over their subtrees."""
 
-    def __init__(self, counter: PreTokenCounter, text: str):
+    def __init__(self, counter: PreTokenCounter, text: str, stored: bytes | None = None):
         self.counter, self.text, self.encoded = counter, text, 0
-        pre = counter.pattern.findall(text)
-        lens, toks = np.fromiter(map(len, pre), np.int64, len(pre)), counter.counts(pre)
-        self.leaves = [(lens[i : i + LEAF], toks[i : i + LEAF]) for i in range(0, len(pre), LEAF)] or [(lens, toks)]
+        if stored is None:
+            pre = counter.pattern.findall(text)
+            lens, toks = np.fromiter(map(len, pre), np.int64, len(pre)), counter.counts(pre)
+        else:
+            width = stored[0]
+            lens, toks = np.frombuffer(stored, f"<u{width}", offset=1).astype(np.int64).reshape(2, -1)
+        self.leaves = [(lens[i : i + LEAF], toks[i : i + LEAF]) for i in range(0, len(lens), LEAF)] or [(lens, toks)]
         self._build()
 
     def _build(self) -> None:
@@ -55,6 +59,12 @@ class CountTree:
             self.sums[n // 2 : n] = self.sums[n : 2 * n : 2] + self.sums[n + 1 : 2 * n : 2]
             n //= 2
 
+    def stored(self) -> bytes:
+        """The leaves' pre-tokens as bytes: the width of a number, their lengths, their token counts."""
+        both = np.concatenate([le for le, _ in self.leaves] + [to for _, to in self.leaves])
+        width = 1 if both.max(initial=0) < 1 << 8 else 2 if both.max() < 1 << 16 else 4
+        return bytes([width]) + both.astype(f"<u{width}").tobytes()
+
     @property
     def tokens(self) -> int:
         return int(self.sums[1, 1])
@@ -120,33 +130,61 @@ class CountTree:
             self._build()
 
 
-def edited_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", edits_col: str = "edits") -> DataFrame:
-    """Token counts before and after edits, re-encoding only what the edits touch.
-
-    ``edits_col`` holds for each row an array of (start, end, text): characters to replace, applied in order, each on the
-    text that the ones before it left; places outside of the text are clipped, null members count as 0 or the empty string.
-
-    Returns one row per input row: ``id, n_pre_tokens, n_tokens`` of the whole text (null: empty), ``edited`` (the new
-    text), ``n_tokens_edited``, and ``n_reencoded`` (pre-tokens encoded for the edits). A null or empty array changes
-    nothing. Ids may be null or repeat. No shuffle; each task keeps one document's tree at a time.
-    """
-    model = docs.sparkSession.sparkContext.broadcast(Bpe.load(path))
+def _by_slices(f, columns: list[str], model):
+    """A mapInPandas function that makes rows of ``columns`` from rows, with a counter that remembers pre-tokens."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counter = PreTokenCounter(model.value)
         for batch in batches:
             for at in range(0, len(batch), SLICE):
                 rows = batch.iloc[at : at + SLICE]
-                out = []
-                for text, edits in zip(rows["text"], rows["edits"], strict=True):
-                    tree = CountTree(counter, text or "")
-                    before = tree.pre_tokens, tree.tokens
-                    for e in edits if edits is not None else []:
-                        if e is not None:
-                            tree.edit(int(e["start"] or 0), int(e["end"] or 0), e["text"] or "")
-                    out.append((*before, tree.text, tree.tokens, tree.encoded))
-                yield pd.DataFrame(out, columns=["n_pre_tokens", "n_tokens", "edited", "n_tokens_edited", "n_reencoded"]).assign(id=rows["id"].to_numpy())
-
-    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(edits_col).cast(EDITS).alias("edits"))
-    out = rows.mapInPandas(run, "id string, n_pre_tokens long, n_tokens long, edited string, n_tokens_edited long, n_reencoded long")
+                yield pd.DataFrame([f(counter, r) for r in rows.itertuples(index=False)], columns=columns)
+
+    return run
+
+
+def counted_trees(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", edits_col: str | None = None) -> DataFrame:
+    """Whole texts counted, with what ``edited_trees`` needs to count them again after edits without encoding them again.
+
+    Returns one row per input row: ``id, text, tree`` (binary: lengths and token counts of the pre-tokens), ``n_pre_tokens,
+    n_tokens`` (null: an empty text), and ``edits`` if a column of edits is given. The table can be written and kept. Ids may
+    be null or repeat; no rows give no rows; other columns are ignored, whatever their names. No shuffle; each task keeps
+    one document's tree at a time.
+    """
+    model = docs.sparkSession.sparkContext.broadcast(Bpe.load(path))
+
+    def count(counter: PreTokenCounter, r) -> tuple:
+        tree = CountTree(counter, r.text or "")
+        return (r.id, r.text, tree.stored(), tree.pre_tokens, tree.tokens, *([r.edits] if edits_col else []))
+
+    edits = [F.col(edits_col).cast(EDITS).alias("edits")] if edits_col else []
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), *edits)
+    columns = ["id", "text", "tree", "n_pre_tokens", "n_tokens", *(["edits"] if edits_col else [])]
+    out = rows.mapInPandas(_by_slices(count, columns, model), "id string, text string, tree binary, n_pre_tokens long, n_tokens long" + (f", edits {EDITS}" if edits_col else ""))
     return out.withColumn("id", F.col("id").cast(docs.schema[id_col].dataType))
+
+
+def edited_trees(trees: DataFrame, path: str, edits_col: str = "edits") -> DataFrame:
+    """Counts after edits of the table of ``counted_trees``: only what the edits touch is encoded.
+
+    ``edits_col`` holds for each row an array of (start, end, text): characters to replace, applied in order, each on the
+    text that the ones before it left; places outside of the text are clipped, null members count as 0 or the empty string.
+
+    Returns one row per input row: ``id, text`` (as edited), ``tree, n_pre_tokens, n_tokens`` (of the edited text, so that
+    further edits can follow), ``n_pre_tokens_before, n_tokens_before``, and ``n_reencoded`` (pre-tokens encoded for the
+    edits). A null or empty array changes nothing, but that a null text becomes an empty one. No rows give no rows; other
+    columns are ignored, whatever their names. No shuffle.
+    """
+    model = trees.sparkSession.sparkContext.broadcast(Bpe.load(path))
+
+    def edit(counter: PreTokenCounter, r) -> tuple:
+        tree = CountTree(counter, r.text or "", bytes(r.tree))
+        for e in r.edits if r.edits is not None else []:
+            if e is not None:
+                tree.edit(int(e["start"] or 0), int(e["end"] or 0), e["text"] or "")
+        return r.id, tree.text, tree.stored(), tree.pre_tokens, tree.tokens, r.n_pre_tokens, r.n_tokens, tree.encoded
+
+    rows = trees.select(F.col("id").cast("string").alias("id"), "text", "tree", "n_pre_tokens", "n_tokens", F.col(edits_col).cast(EDITS).alias("edits"))
+    columns = ["id", "text", "tree", "n_pre_tokens", "n_tokens", "n_pre_tokens_before", "n_tokens_before", "n_reencoded"]
+    out = rows.mapInPandas(_by_slices(edit, columns, model), "id string, text string, tree binary, n_pre_tokens long, n_tokens long, n_pre_tokens_before long, n_tokens_before long, n_reencoded long")
+    return out.withColumn("id", F.col("id").cast(trees.schema["id"].dataType))

@@ -7,7 +7,7 @@ from tokenizers import Tokenizer
 
 from orrery.llm.bpe import Bpe, WordEncoder, encode_documents
 from orrery.llm.queries import op2_bpe_encode_decode, op8_token_counts
-from orrery.llm.token_counts import CountTree, PreTokenCounter
+from orrery.llm.token_counts import CountTree, PreTokenCounter, counted_trees, edited_trees
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 ODD = ["", " ", "<|endoftext|>a<|startoftext|> b", "İSTANBUL ΟΔΟΣ Σ", "été \x1c\x1dx\x1fy", "don't we'll I'VE 123 ½²", "naïve café 日本語テキスト　x", "a" * 3000, "!?" * 500, "\u0000\u0001 ﻿​", "aaaa aaa aa", "ﬁ ǅ ß ẞ", "ཱི̈́ ẛ̣"]
@@ -96,9 +96,26 @@ def test_edit_query(spark, sf_dir):
         assert 0 < r["n_reencoded"] < 40
 
 
-def test_null_edits(spark):
-    from orrery.llm.token_counts import edited_counts
+def test_kept_trees_take_edits_without_a_second_encoding(spark, tmp_path):
+    lib = Tokenizer.from_file(BYTE)
+    lib.encode_special_tokens = True
+    rng = random.Random(7)
+    texts = [" ".join(rng.choice(["word", "it's", "12", "Über", "\n\n", "x" * 300]) for _ in range(n)) for n in (0, 1, 40, 3000)]
+    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(texts)], "doc_id long, text string, tree string, id int")
+    counted_trees(docs, BYTE).write.parquet(f"{tmp_path}/trees")
+    kept = spark.read.parquet(f"{tmp_path}/trees")
+    assert {r["id"]: r["n_tokens"] for r in kept.collect()} == {i: len(lib.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
+    edits = F.array(F.struct(F.lit(3).alias("start"), F.lit(5).alias("end"), F.lit("new'").alias("text")))
+    for _ in range(2):  # the result takes further edits
+        kept = edited_trees(kept.withColumn("edits", edits), BYTE)
+        texts = [t[:3] + "new'" + t[5:] for t in texts]
+        for r in kept.collect():
+            assert r["text"] == texts[r["id"]] and r["n_tokens"] == len(lib.encode(r["text"], add_special_tokens=False).ids)
+            assert r["n_reencoded"] < 12
 
-    df = spark.createDataFrame([(1, None, None), (2, "a b", []), (2, "a b", [(0, 1, None), None])], "doc_id long, text string, edits array<struct<start:int,end:int,text:string>>")
-    assert sorted((r["id"], r["n_tokens"], r["n_tokens_edited"], r["edited"]) for r in edited_counts(df, BYTE).collect()) == [(1, 0, 0, ""), (2, 2, 1, " b"), (2, 2, 2, "a b")]
-    assert edited_counts(df.where(F.lit(False)), BYTE).count() == 0
+
+def test_null_edits(spark):
+    df = spark.createDataFrame([(1, None, None, "a"), (2, "a b", [], "a"), (2, "a b", [(0, 1, None), None], "a"), (None, "a", None, "a")], "doc_id long, text string, edits array<struct<start:int,end:int,text:string>>, n_tokens string")
+    run = lambda d: edited_trees(counted_trees(d, BYTE, edits_col="edits"), BYTE)
+    assert sorted((r["id"] or 0, r["n_tokens_before"], r["n_tokens"], r["text"]) for r in run(df).collect()) == [(0, 1, 1, "a"), (1, 0, 0, ""), (2, 2, 1, " b"), (2, 2, 2, "a b")]
+    assert run(df.where(F.lit(False))).count() == 0
