@@ -126,12 +126,12 @@ def _featurise(chosen: np.ndarray):
 
 
 def fit(docs: DataFrame, labels: DataFrame, heads: list[str], fit_rows: int = FIT_ROWS) -> Model:
-    """Logistic models of the 0/1 columns ``heads`` of ``labels(id, ...)`` from ``docs(id, text)``.
+    """Logistic models of the 0/1 columns ``heads`` of ``labels(id, ...)``, one row for each id, from ``docs(id, text)``.
 
     Word features are counted by Spark, and those with the largest chi-squares chosen for each label; the driver gets the
     sample's documents as these features only.
     """
-    known = labels.where(" and ".join(f"{h} in (0, 1)" for h in heads)).dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").limit(fit_rows)
+    known = labels.where(" and ".join(f"{h} in (0, 1)" for h in heads)).orderBy(F.xxhash64("id"), "id").limit(fit_rows)
     sample = docs.join(F.broadcast(cut(known)), "id").select("text", *heads)
     counts = cut(sample.mapInPandas(_feature_counts(heads), "feature long, n long, " + ", ".join(f"{h} long" for h in heads)).groupBy("feature").agg(*(F.sum(c).alias(c) for c in ["n", *heads])).where("n >= 5 or feature < 0"))
     total = counts.where("feature < 0").first()
@@ -197,6 +197,14 @@ def _strength(groups: DataFrame, mean: Column) -> float:
     return min(max(within / between - 1, 1.0), 1e5)
 
 
+def _site(site: Column | None) -> Column:
+    return F.coalesce((F.lit(None) if site is None else site).cast("string"), F.lit("\0"))
+
+
+def _row_key(text, host, path) -> Column:
+    return F.xxhash64(text, host, path)
+
+
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host: Column | None = None, path: Column | None = None, quality_col: str = "quality", toxic_col: str = "toxic", label_id_col: str | None = None, fit_rows: int = FIT_ROWS) -> DataFrame:
     """Posterior probabilities that a document is of good quality and that it is toxic.
 
@@ -204,27 +212,40 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     log-likelihood ratio. Each document then counts at its path and host: by its label if it has one, else by its
     probability under the global prior. Hosts shrink towards the global share and paths towards their host, with strengths
     estimated from all groups by moments; a document's own count is left out of its site's. Evidence and site add up in
-    log-odds.
+    log-odds (``posterior``).
 
-    Returns one row per input row: ``id, p_quality, p_toxic, kept`` (p_quality >= 0.5 and p_toxic < 0.5). Null hosts and
-    paths are groups of their own; a null or empty text is judged as an empty one; a null id has no label; repeated ids are
-    separate rows; of repeated labels an arbitrary one counts; without labels everything is kept at probabilities of one
-    half. No rows give no rows. Other columns are ignored, whatever their names.
+    Returns one row per input row: ``id, p_quality, p_toxic, kept`` (p_quality >= 0.5 and p_toxic < 0.5), and ``key``, a
+    number of the row's text, host and path. Null hosts and paths are groups of their own; a null or empty text is judged
+    as an empty one; whole texts count, however long; a null id has no label; repeated ids are separate rows; of repeated
+    labels of an id the lowest quality and the highest toxicity count; without labels everything is kept at probabilities
+    of one half. No rows give no rows. Other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
     heads = ["q", "t"]
-    host = F.lit(None) if host is None else host
-    path = F.lit(None) if path is None else path
     known = labels.select(F.col(label_id_col or id_col).cast("long").alias("id"), F.col(quality_col).cast("int").alias("q"), F.col(toxic_col).cast("int").alias("t")).where("id is not null")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(host.cast("string"), F.lit("\0")).alias("host"), F.coalesce(path.cast("string"), F.lit("\0")).alias("path"), F.col(text_col).cast("string").alias("text"))
+    known = known.groupBy("id").agg(F.min("q").alias("q"), F.max("t").alias("t"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), _site(host).alias("host"), _site(path).alias("path"), F.col(text_col).cast("string").alias("text"))
+    texts = texts.withColumn("key", _row_key("text", "host", "path"))
     model = fit(texts.select("id", "text"), known, heads, fit_rows)
-    scored = texts.mapInPandas(_score(spark.sparkContext.broadcast(model), len(heads)), "id long, host string, path string, evidence array<double>")
-    one = known.groupBy("id").agg(F.first("q", ignorenulls=True).alias("q"), F.first("t", ignorenulls=True).alias("t"))
+    scored = texts.mapInPandas(_score(spark.sparkContext.broadcast(model), len(heads)), "id long, host string, path string, key long, evidence array<double>")
     prior = [h.prior for h in model.heads] or [0.0] * len(heads)
-    rows = scored.join(one, "id", "left")
+    rows = scored.join(known, "id", "left")
     for i, h in enumerate(heads):
         rows = rows.withColumn(f"e_{h}", F.col("evidence")[i]).withColumn(f"s_{h}", F.when(F.col(h).isin(0, 1), F.col(h).cast("double")).otherwise(_sigmoid(F.col(f"e_{h}") + F.lit(prior[i]))))
-    rows = cut(rows.select("id", "host", "path", *(f"{a}_{h}" for h in heads for a in "es")))
+    out = posterior(cut(rows.select("id", "key", "host", "path", *(f"{a}_{h}" for h in heads for a in "es"))), heads)
+    if not model.heads:
+        out = out.withColumns({f"p_{h}": F.lit(0.5) for h in heads})
+    out = out.select("id", "key", F.col("p_q").alias("p_quality"), F.col("p_t").alias("p_toxic"))
+    return out.withColumn("kept", (F.col("p_quality") >= 0.5) & ((F.col("p_toxic") < 0.5) | F.lit(not model.heads)))
+
+
+def posterior(rows: DataFrame, heads: list[str]) -> DataFrame:
+    """Adds ``p_<head>`` to rows (host, path, e_<head>: evidence, s_<head>: what the row counts at its site, 0 to 1).
+
+    With the global share g, hosts of n rows that sum up to s, and strengths k: a row's host has the share
+    (s_host - s_row + k_host g) / (n_host - 1 + k_host), its path (s_path - s_row + k_path share_host) / (n_path - 1 + k_path),
+    and the posterior's log-odds are the evidence and those of the path.
+    """
     paths = cut(rows.groupBy("host", "path").agg(F.count("*").alias("n"), *(F.sum(f"s_{h}").alias(f"s_{h}") for h in heads)))
     hosts = paths.groupBy("host").agg(F.sum("n").alias("host_n"), *(F.sum(f"s_{h}").alias(f"host_s_{h}") for h in heads))
     both = paths.join(hosts, "host")
@@ -237,12 +258,12 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
         k_path = _strength(both.select("n", F.col(f"s_{h}").alias("s"), ((F.col(f"host_s_{h}") + k_host * share) / (F.col("host_n") + k_host)).alias("mu")), F.col("mu"))
         of_host = (F.col(f"host_s_{h}") - F.col(f"s_{h}") + k_host * share) / (F.col("host_n") - 1 + k_host)
         of_path = (F.col(f"path_s_{h}") - F.col(f"s_{h}") + k_path * of_host) / (F.col("n") - 1 + k_path)
-        out = out.withColumn(f"p_{h}", _sigmoid(F.col(f"e_{h}") + _odds(of_path)) if model.heads else F.lit(0.5))
-    out = out.select("id", F.col("p_q").alias("p_quality"), F.col("p_t").alias("p_toxic"))
-    return out.withColumn("kept", (F.col("p_quality") >= 0.5) & ((F.col("p_toxic") < 0.5) | F.lit(not model.heads)))
+        out = out.withColumn(f"p_{h}", _sigmoid(F.col(f"e_{h}") + _odds(of_path)))
+    return out
 
 
-def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` without those whose posterior rejects them; rows with a null id stay."""
-    gone = quality(docs, labels, id_col, **options).where("not kept").select(F.col("id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti").select(docs.columns)
+def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host: Column | None = None, path: Column | None = None, **options) -> DataFrame:
+    """``docs`` without the rows that their posteriors reject; each row is judged by itself, also where its id is null or repeats."""
+    gone = quality(docs, labels, id_col, text_col, host, path, **options).where("not kept").select(F.col("id").alias("gone_id"), F.col("key").alias("gone_key")).distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("row_id"), _row_key(F.col(text_col).cast("string"), _site(host), _site(path)).alias("row_key"))
+    return rows.join(gone, F.col("row_id").eqNullSafe(F.col("gone_id")) & (F.col("row_key") == F.col("gone_key")), "left_anti").select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
