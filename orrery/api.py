@@ -113,11 +113,13 @@ class CodeMap:
         return [r["path"] for r in resolve.resolve_path(self.known, path).collect()]
 
     def overview(self) -> DataFrame:
-        """One row of counts."""
+        """One row of counts; null for a table that was not made. Cycles of tests only count apart."""
         out = self.edges.agg(F.count("*").alias("edges"), F.count_if(F.col("source") == "both").alias("confirmed"))
-        for name in ("modules", "file_summaries", "entry_points", "cycles", "quick_reference", "notes"):
-            n = self.t[name].count() if self.t.has(name) else None
-            out = out.withColumn(name, F.lit(n).cast("long"))
+        for name in ("modules", "file_summaries", "entry_points", "cycles", "quick_reference", "data_flow", "db_tables", "tests", "notes"):
+            one = self.t[name].agg(F.count("*").alias(name), *([F.count_if("test_only").alias("test_cycles")] if name == "cycles" else []))
+            if not self.t.has(name):
+                one = one.select(*(F.lit(None).cast("long").alias(c) for c in one.columns))
+            out = out.join(one, F.lit(True))  # rows of one each
         return out
 
     def top_fan_in(self, k: int = 10) -> DataFrame:
@@ -146,7 +148,6 @@ class CodeMap:
 
     def find(self, query: str, limit: int = 20) -> DataFrame:
         t = self.t
-        seq = F.monotonically_increasing_id()
         corpora = [
             t["quick_reference"].select(F.lit("quick_reference").alias("kind"), F.col("location").alias("path"), F.concat_ws(" ", "query", "location").alias("text")),
             t["modules"].select(F.lit("module").alias("kind"), "path", F.concat_ws(" ", "path", "name", "description").alias("text")),
@@ -154,10 +155,12 @@ class CodeMap:
             t["file_summaries"].select("path", F.explode_outer("symbols").alias("s")).where("s is not null").select(F.lit("symbol").alias("kind"), "path", F.concat_ws(" ", "s.name", "s.description").alias("text")),
             t["file_summaries"].select(F.lit("file_summary").alias("kind"), "path", F.concat_ws(" ", "path", "summary").alias("text")),
         ]
-        all_ = corpora[0]
-        for c in corpora[1:]:
-            all_ = all_.unionByName(c)
-        return search.find(all_.withColumn("seq", seq), query, limit)
+        # Hits that are alike in score and path come in the order of the tables, then of their texts.
+        all_ = None
+        for i, c in enumerate(corpora):
+            c = c.withColumn("seq", F.struct(F.lit(i).alias("table"), "text"))
+            all_ = c if all_ is None else all_.unionByName(c)
+        return search.find(all_, query, limit)
 
     def semantic_find(self, query: str, scorer: Callable[[DataFrame], DataFrame] | None, limit: int = 10) -> DataFrame:
         """Ranked by a scorer that adds ``score`` to ``(path, text, query)``; without one, by words."""

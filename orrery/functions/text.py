@@ -5,16 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_KEY = "-----{} (?:ENCRYPTED |RSA |EC |DSA |OPENSSH )?PRIVATE KEY-----"
 #: What is taken for a secret, and what stands in its place; applied in this order.
 REDACTIONS: list[tuple[str, str]] = [
     (r"(AKIA[0-9A-Z]{16})", "[REDACTED:AWS_ACCESS_KEY]"),
     (r"(?i)(aws_secret[_\s]*(?:access_)?key)\s*[=\s:]\s*[\"']?([A-Za-z0-9/+=]{40})[\"']?", "$1=[REDACTED:AWS_SECRET_KEY]"),
     (r"(?i)((?:gh[pousr]|github_pat)_[A-Za-z0-9_]{20,})", "[REDACTED:GITHUB_TOKEN]"),
     (r"(?i)([\"']?(?:api[_-]?key|apikey)[\"']?\s*[=:]\s*)[\"']?([A-Za-z0-9_\-/+=]{20,})[\"']?", "$1\"[REDACTED:API_KEY]\""),
-    ("(?s)" + _KEY.format("BEGIN") + ".*?" + _KEY.format("END"), "[REDACTED:PRIVATE_KEY]"),
-    ("(" + _KEY.format("BEGIN") + ")", "[REDACTED:PRIVATE_KEY_HEADER]"),
-    ("(" + _KEY.format("END") + ")", "[REDACTED:PRIVATE_KEY_HEADER]"),
+    (r"(?s)-----BEGIN (?:ENCRYPTED |RSA |EC |DSA |OPENSSH )?PRIVATE KEY-----.*?-----END (?:ENCRYPTED |RSA |EC |DSA |OPENSSH )?PRIVATE KEY-----", "[REDACTED:PRIVATE_KEY]"),
+    (r"(-----BEGIN (?:ENCRYPTED |RSA |EC |DSA |OPENSSH )?PRIVATE KEY-----)", "[REDACTED:PRIVATE_KEY_HEADER]"),
+    (r"(-----END (?:ENCRYPTED |RSA |EC |DSA |OPENSSH )?PRIVATE KEY-----)", "[REDACTED:PRIVATE_KEY_HEADER]"),
     (r"(\[REDACTED:PRIVATE_KEY_HEADER\](?:\r?\n[A-Za-z0-9+/=]{16,})+)", "[REDACTED:PRIVATE_KEY_HEADER]\n[REDACTED:PRIVATE_KEY_BODY]"),
     (r"(?i)([\"']?(?:password|passwd|pwd)[\"']?\s*[=:]\s*)(\")((?:\\.|[^\"\\])*)(\")", "$1$2[REDACTED:PASSWORD]$2"),
     (r"(?i)([\"']?(?:password|passwd|pwd)[\"']?\s*[=:]\s*)(')((?:\\.|[^'\\])*)(')", "$1$2[REDACTED:PASSWORD]$2"),

@@ -98,6 +98,11 @@ def prefix_degrees(modules: DataFrame, degrees: DataFrame, separator: str = "/")
 
 
 def capped_per_directory(rows: DataFrame, directory: str, order: list, cap: int) -> DataFrame:
-    """The first ``cap`` rows of each directory, and how many it has in ``n_entries``."""
-    w = Window.partitionBy(directory)
-    return rows.withColumn("position", F.row_number().over(w.orderBy(*order))).withColumn("n_entries", F.count("*").over(w)).where(F.col("position") <= cap)
+    """The first ``cap`` rows of each directory, and how many it has in ``n_entries``.
+
+    Counts are combined before their shuffle, and each task passes on its first ``cap`` rows of a directory only (Spark
+    limits a ranked window so), so no directory is gathered.
+    """
+    first = rows.withColumn("position", F.row_number().over(Window.partitionBy(directory).orderBy(*order))).where(F.col("position") <= cap)
+    n = rows.groupBy(F.col(directory).alias("_directory")).agg(F.count("*").alias("n_entries"))
+    return first.join(n, F.col(directory).eqNullSafe(F.col("_directory"))).drop("_directory")

@@ -16,27 +16,35 @@ def _trim(edges: DataFrame, rounds: int = 3) -> DataFrame:
     return edges
 
 
-def strongly_connected(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
+def _spread(both: DataFrame, labels: DataFrame, hops: int) -> DataFrame:
+    """``node, fw, bw`` after so many hops: the smallest labels among a node's own and those of the neighbours at either side."""
+    for _ in range(hops):
+        said = both.join(labels.withColumnRenamed("node", "at"), "at").select("node", F.when(F.col("ahead"), F.col("fw")).alias("fw"), F.when(~F.col("ahead"), F.col("bw")).alias("bw"))
+        labels = labels.unionByName(said).groupBy("node").agg(F.min("fw").alias("fw"), F.min("bw").alias("bw"))
+    return labels
+
+
+def strongly_connected(edges: DataFrame, hops: int = 3, max_rounds: int = 10_000) -> DataFrame:
     """``node, scc`` for every node of ``edges(src, dst)``; scc is the component's smallest node.
 
     Each round spreads two labels over the edges left until nothing changes: the smallest node that reaches a node, and the
     smallest that it reaches. Where both agree, that node and this one reach each other, so the node is done; the others
     go on with the edges inside their pair of labels. Only minima are aggregated, so hot nodes are combined before the
-    shuffle. Nodes that no cycle can hold are trimmed first.
+    shuffle. Nodes that no cycle can hold are trimmed first. Labels move ``hops`` edges between two materialised tables,
+    and a round is over when their sums stand still (labels only fall). ``max_rounds`` guards against an endless loop and raises.
     """
     base = edges.select("src", "dst").where("src is not null and dst is not null")
     nodes = base.select(F.col("src").alias("node")).unionAll(base.select(F.col("dst").alias("node"))).distinct()
-    left = cut(_trim(base.where("src <> dst").distinct()))
-    done = None
-    for _ in range(max_rounds):
-        if left.isEmpty():
-            break
-        was = None
-        labels = cut(left.select(F.col("src").alias("node")).unionAll(left.select(F.col("dst").alias("node"))).distinct().select("node", F.col("node").alias("fw"), F.col("node").alias("bw")))
+    left = cut(_trim(base.where("src <> dst").distinct(), 1))
+    done, rounds = None, 0
+    while not left.isEmpty():
+        both = left.select(F.col("src").alias("at"), F.col("dst").alias("node"), F.lit(True).alias("ahead")).unionAll(left.select(F.col("dst").alias("at"), F.col("src").alias("node"), F.lit(False).alias("ahead")))
+        labels, was = both.select("node").distinct().select("node", F.col("node").alias("fw"), F.col("node").alias("bw")), None
         while True:
-            fw = left.join(labels.select(F.col("node").alias("src"), "fw"), "src").select(F.col("dst").alias("node"), "fw", F.lit(None).cast(labels.schema["bw"].dataType).alias("bw"))
-            bw = left.join(labels.select(F.col("node").alias("dst"), "bw"), "dst").select(F.col("src").alias("node"), F.lit(None).cast(labels.schema["fw"].dataType).alias("fw"), "bw")
-            labels = cut(labels.unionByName(fw).unionByName(bw).groupBy("node").agg(F.min("fw").alias("fw"), F.min("bw").alias("bw")))
+            rounds += 1
+            if rounds > max_rounds:
+                raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+            labels = cut(_spread(both, labels, hops))
             now = labels.agg(F.sum(F.xxhash64("node", "fw", "bw").cast("decimal(38,0)"))).first()[0]
             if now == was:
                 break
@@ -46,8 +54,6 @@ def strongly_connected(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
         rest = labels.where("fw <> bw").select("node", F.struct("fw", "bw").alias("part"))
         a, b = rest.select(F.col("node").alias("src"), F.col("part").alias("p")), rest.select(F.col("node").alias("dst"), F.col("part").alias("q"))
         left = cut(_trim(left.join(a, "src").join(b, "dst").where("p = q").select("src", "dst"), 1))
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     if done is None:
         return nodes.select("node", F.col("node").alias("scc"))
     return nodes.join(done, "node", "left").select("node", F.coalesce("scc", "node").alias("scc"))
@@ -87,37 +93,39 @@ def cycles(edges: DataFrame, lines: DataFrame | None = None, is_test: DataFrame
     return cycle_risks(members, lines, is_test).join(lists, "scc").where(F.col("risk_score") >= threshold).select("nodes", "length", "risk_score", "test_only").orderBy(F.desc("risk_score"), "nodes")
 
 
-def dependents(edges: DataFrame, start, transitive: bool = False, limit: int | None = None, max_depth: int = 1000) -> tuple[DataFrame, bool]:
-    """``path, distance`` of what depends on a node, by a breadth-first search over reversed edges; and whether ``limit`` cut it.
-
-    Levels are frontiers: each is joined with the edges and rid of what was seen, so every node has its shortest distance.
-    """
-    spark = edges.sparkSession
-    back = edges.select(F.col("dst").alias("at"), F.col("src").alias("path")).where("at <> path").distinct()
+def dependents(edges: DataFrame, start, transitive: bool = False, limit: int | None = None) -> tuple[DataFrame, bool]:
+    """``path, distance`` of what depends on a node (see :func:`dependents_by`); and whether ``limit`` cut it."""
     kind = edges.schema["src"].dataType.simpleString()
-    seen = spark.range(1).select(F.lit(start).cast(kind).alias("path"), F.lit(0).alias("distance"))
-    front = seen
-    for depth in range(1, (max_depth if transitive else 1) + 1):
-        new = front.select(F.col("path").alias("at")).join(back, "at").select("path").distinct().join(seen, "path", "left_anti").select("path", F.lit(depth).alias("distance"))
-        front = cut(new) if transitive else new
-        if transitive and front.isEmpty():
-            break
-        seen = seen.unionByName(front)
-    out = seen.where("distance > 0")
+    starts = edges.sparkSession.range(1).select(F.lit(start).cast(kind).alias("start"))
+    out = dependents_by(edges, starts, None if transitive else 1).select("path", "distance")
     if limit is None:
         return out, False
     limit = max(0, min(limit, 1000))
     return out.orderBy("distance", "path").limit(limit), out.limit(limit + 1).count() > limit
 
 
-def dependents_by(edges: DataFrame, starts: DataFrame, max_depth: int) -> DataFrame:
-    """``start, path, distance`` for many start nodes at once (``starts(start)``), to a depth."""
+def dependents_by(edges: DataFrame, starts: DataFrame, max_depth: int | None = None, hops: int = 3) -> DataFrame:
+    """``start, path, distance`` of what depends on each of many nodes ``starts(start)``, by a breadth-first search over
+    reversed edges; up to ``max_depth`` edges away, or all.
+
+    Each round follows the frontier for ``hops`` edges, drops what was seen before, and keeps the shortest distance of the
+    rest; those at the last hop are the next frontier. The search ends when it is empty, however long the chains are.
+    """
     back = edges.select(F.col("dst").alias("at"), F.col("src").alias("path")).where("at <> path").distinct()
-    seen = starts.select("start", F.col("start").alias("path"), F.lit(0).alias("distance"))
-    front = seen
-    for depth in range(1, max_depth + 1):
-        front = cut(front.select("start", F.col("path").alias("at")).join(back, "at").select("start", "path").distinct().join(seen, ["start", "path"], "left_anti").select("start", "path", F.lit(depth).alias("distance")))
+    seen = starts.select("start", F.col("start").alias("path"), F.lit(0).alias("distance")).where("start is not null").distinct()
+    front, depth = seen, 0
+    if max_depth == 1:
+        return seen.select("start", F.col("path").alias("at")).join(back, "at").select("start", "path", F.lit(1).alias("distance")).where("path <> start")
+    back = cut(back)
+    while max_depth is None or depth < max_depth:
+        step, found = front, None
+        for _ in range(hops if max_depth is None else min(hops, max_depth - depth)):
+            step = step.select("start", F.col("path").alias("at"), "distance").join(back, "at").groupBy("start", "path").agg((F.min("distance") + 1).alias("distance"))
+            found = step if found is None else found.unionByName(step)
+            depth += 1
+        # All of the frontier is as far as the last hop of the round before, so the first distance found is the shortest.
+        new = cut(found.groupBy("start", "path").agg(F.min("distance").alias("distance")).join(seen, ["start", "path"], "left_anti"))
+        seen, front = seen.unionByName(new), new.where(F.col("distance") == depth)
         if front.isEmpty():
             break
-        seen = seen.unionByName(front)
     return seen.where("distance > 0")

@@ -30,7 +30,8 @@ def evidence(scores: DataFrame, low: float = 0.5) -> DataFrame:
 def degree_rank(degrees: DataFrame) -> DataFrame:
     """Adds ``rank``: the place of a row's degree among the distinct degrees, from 0 to 1; 1 if there is one only.
 
-    Only the distinct degrees are put in order, in one small task; the rows join them.
+    Only the distinct degrees are put in order, in one task: d different degrees add up to d (d - 1) / 2 at least, so there
+    are no more than twice the square root of the number of edges. The rows join them.
     """
     distinct = degrees.select(F.coalesce("degree", F.lit(0)).alias("d")).distinct()
     w = Window.orderBy("d")

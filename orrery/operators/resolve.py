@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,7 +45,8 @@ def resolve_path(known: DataFrame, query: str, most: int = 20) -> DataFrame:
     the query's last part has no dot) paths that contain it, whatever the case. The first tier that has any decides; it
     must have one path, else its first ``most`` are candidates.
     """
-    q = F.lit(query.replace("\\", "/").lstrip("./") if query.startswith("./") else query.replace("\\", "/"))
+    query = re.sub(r"^(\./)+", "", query.replace("\\", "/"))
+    q = F.lit(query)
     p = F.col("path")
     tier = F.when(p == q, 0).when(F.endswith(p, F.concat(F.lit("/"), q)), 1).when(F.endswith(q, F.concat(F.lit("/"), p)), 2)
     if "." not in query.rsplit("/", 1)[-1]:

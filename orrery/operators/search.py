@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -22,17 +23,18 @@ def token_score(tokens: list[str], text: Column) -> Column:
     """For each token 3 if it is a word of the text, else 2 if it begins one or one begins it (four letters at least), else
     1 if it occurs at all; words are divided at slashes, dots, underscores and white space."""
     hay = F.lower(text)
-    words = F.split(hay, r"[/._\s]+")
-    one = lambda t: (
-        F.when(F.array_contains(words, t), 3)
-        .when(F.lit(len(t) >= 4) & F.exists(words, lambda w: (F.length(w) >= 4) & (w.startswith(t) | F.startswith(F.lit(t), w))), 2)
-        .when(F.contains(hay, F.lit(t)), 1)
-        .otherwise(0)
-    )
-    out = F.lit(0)
-    for t in tokens:
-        out = out + one(t)
-    return F.coalesce(out, F.lit(0))
+    # Every word stands between spaces, so that words and their beginnings are found without dividing the text.
+    words = F.concat(F.lit(" "), F.translate(hay, "/._\t\n\x0b\f\r", " " * 8), F.lit(" "))
+    has = lambda x: F.contains(words, F.lit(x))
+
+    def one(t: str) -> Column:
+        begins = [has(f" {t}"), *(has(f" {t[:n]} ") for n in range(4, len(t)))] if len(t) >= 4 else []
+        out = F.when(has(f" {t} "), 3)
+        if begins and not set(t) & set("/._"):
+            out = out.when(functools.reduce(lambda a, b: a | b, begins), 2)
+        return out.when(F.contains(hay, F.lit(t)), 1).otherwise(0)
+
+    return F.coalesce(functools.reduce(lambda a, b: a + b, map(one, tokens), F.lit(0)), F.lit(0))
 
 
 def find(corpus: DataFrame, query: str, limit: int = 20) -> DataFrame:

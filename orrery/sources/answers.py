@@ -12,6 +12,7 @@ ANSWER = (
     "modules array<struct<path:string,name:string,description:string>>, import_edges array<struct<from_path:string,to_path:string,kind:string>>, "
     "data_flow array<struct<source:string,destination:string,description:string>>, entry_points array<struct<path:string,name:string,kind:string,description:string>>, "
     "file_summaries array<struct<path:string,summary:string,symbols:array<struct<name:string,kind:string,description:string>>>>, quick_reference array<struct<query:string,location:string>>, "
+    "db_tables array<struct<name:string,columns:array<struct<name:string,type:string,constraints:string>>,description:string>>, "
     "tests array<struct<file:string,covers:string>>, notes array<struct<note:string>>, requested_files array<string>"
 )
 _CHUNK = "choices array<struct<delta:struct<content:string>,finish_reason:string>>, usage struct<prompt_tokens:string,completion_tokens:string>"
@@ -36,7 +37,7 @@ def answer_tables(answers: DataFrame) -> dict[str, DataFrame]:
     """Tables of answers ``(text)``: fences and prose around the JSON are dropped, rows without a key are left out."""
     parsed = answers.select(F.from_json(json_object(F.col("text")), ANSWER).alias("a"))
     out = {}
-    for name in ("modules", "data_flow", "entry_points", "file_summaries", "quick_reference", "tests", "notes"):
+    for name in ("modules", "data_flow", "entry_points", "file_summaries", "quick_reference", "db_tables", "tests", "notes"):
         out[name] = parsed.select(F.inline(f"a.{name}"))
     out["modules"] = out["modules"].select("path", "name", "description", F.lit(None).cast("double").alias("role"), F.lit(None).cast("long").alias("degree")).where("path is not null")
     out["llm_edges"] = parsed.select(F.inline("a.import_edges")).select(F.col("from_path").alias("src"), F.col("to_path").alias("dst"), "kind").where("src is not null and dst is not null")

@@ -21,9 +21,12 @@ IGNORE_FILE = ".orreryignore"
 
 
 def ignore_patterns(root: str) -> list[str]:
-    """One pattern a line; blank lines and comments are skipped, a slash at the end goes."""
+    """One pattern a line; blank lines and comments are skipped, a slash at the end goes. A link out of the tree is not followed."""
+    at = os.path.join(root, IGNORE_FILE)
+    if os.path.islink(at) and not os.path.realpath(at).startswith(os.path.realpath(root) + os.sep):
+        return []
     try:
-        with open(os.path.join(root, IGNORE_FILE), encoding="utf-8", errors="replace") as f:
+        with open(at, encoding="utf-8", errors="replace") as f:
             return [x.rstrip("/") for x in (line.strip() for line in f) if x and not x.startswith("#")]
     except OSError:
         return []
@@ -31,9 +34,9 @@ def ignore_patterns(root: str) -> list[str]:
 
 @dataclass
 class Listing:
-    """What a walk found: ``files`` (path, size), ``lines`` of the tree, and how many files were left out."""
+    """What a walk found: ``files`` (path, size, and what a link leads to), ``lines`` of the tree, how many were left out."""
 
-    files: list[tuple[str, int]] = field(default_factory=list)
+    files: list[tuple[str, int, str]] = field(default_factory=list)
     lines: list[str] = field(default_factory=list)
     skipped: int = 0
 
@@ -57,11 +60,13 @@ def walk(root: str, patterns: list[str], per_dir: int = 200) -> Listing:
             if _excluded(p, patterns):
                 out.skipped += e.is_file()
                 continue
+            target = p
             if e.is_symlink():
                 real = os.path.realpath(e.path)
                 if e.is_dir() or not real.startswith(base + os.sep) or _excluded(os.path.relpath(real, base), patterns):
                     out.skipped += 1
                     continue
+                target = os.path.relpath(real, base)
             line = draw and shown < per_dir and len(out.lines) < 25 * per_dir
             if line:
                 out.lines.append("  " * depth + e.name + ("/" if e.is_dir() else ""))
@@ -70,7 +75,7 @@ def walk(root: str, patterns: list[str], per_dir: int = 200) -> Listing:
                 if not os.path.exists(os.path.join(e.path, ".git")):
                     enter(p, depth + 1, line)
             elif e.is_file():
-                out.files.append((p, e.stat().st_size))
+                out.files.append((p, e.stat().st_size, target))
         if draw and shown > per_dir:
             out.lines.append("  " * depth + f"({shown - per_dir} more)")
 
@@ -119,13 +124,14 @@ class TreeSource(DataSource):
 def scan(spark: SparkSession, root: str, *, max_files: int = 200, include_tests: bool = True, exclude: tuple[str, ...] = (), use_ignore_file: bool = True, per_dir: int = 200) -> tuple[DataFrame, Listing]:
     """The files of a tree that are worth reading: ``path, lang, rank, scan_pos, size, raw, est_tokens, line_count``.
 
-    Binary, sensitive and excluded names are never opened. The first ``max_files`` by rank and path are read.
+    Binary, sensitive and excluded names are never opened, nor are links to such files. The first ``max_files`` by rank and path are read.
     """
     patterns = [*paths.ALWAYS_EXCLUDED, *exclude, *(ignore_patterns(root) if use_ignore_file else [])]
     listing = walk(root, patterns, per_dir)
     p = F.col("path")
-    names = spark.createDataFrame(listing.files or [("", 0)], "path string, size long").where("path <> ''")
-    kept = names.where(~paths.is_binary(p) & ~paths.is_sensitive(p) & (F.lit(include_tests) | ~paths.is_test(p))).select("path", paths.priority(p).alias("rank"))
+    names = spark.createDataFrame(listing.files or [("", 0, "")], "path string, size long, target string").where("path <> ''")
+    open_ = ~paths.is_binary(p) & ~paths.is_sensitive(p) & ~paths.is_binary(F.col("target")) & ~paths.is_sensitive(F.col("target"))
+    kept = names.where(open_ & (F.lit(include_tests) | ~paths.is_test(p))).select("path", paths.priority(p).alias("rank"))
     chosen = kept.orderBy("rank", "path").limit(max_files).collect()  # names only, at most max_files
     listing.skipped += len(listing.files) - len(chosen)
     spark.dataSource.register(TreeSource)

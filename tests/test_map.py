@@ -103,6 +103,27 @@ def test_resolve_tiers(spark):
     get = lambda q: [r["path"] for r in resolve.resolve_path(k, q).collect()]
     assert get("app/cli.py") == ["app/cli.py"] and get("cli.py") == ["app/cli.py", "lib/cli.py"] and get("core.py") == ["app/core.py"]
     assert get("/x/repo/app/core.py") == ["app/core.py"] and get("deep") == ["src/Deep/Name.py"] and get("nope.py") == []
+    dots = spark.createDataFrame([(p,) for p in (".github/x.yml", "github/x.yml", "a", "b/a")], "path string")
+    get = lambda q: [r["path"] for r in resolve.resolve_path(dots, q).collect()]
+    assert get("./.github/x.yml") == [".github/x.yml"] and get(".\\a") == ["a"] and get("././b/a") == ["b/a"]
+
+
+def test_chains_longer_than_a_round(spark):
+    n = 50
+    chain = spark.createDataFrame([(i + 1, i, "import") for i in range(n)] + [(i + 1, i, "import") for i in range(100, 107)] + [(100, 107, "import")], "src long, dst long, kind string")
+    out, cut_ = graph.dependents(chain, 0, transitive=True)
+    assert sorted((r["path"], r["distance"]) for r in out.collect()) == [(i, i) for i in range(1, n + 1)] and not cut_
+    out, cut_ = graph.dependents(chain, 0, transitive=True, limit=5)
+    assert [r["path"] for r in out.collect()] == [1, 2, 3, 4, 5] and cut_
+    far = graph.dependents_by(chain, spark.createDataFrame([(0,), (100,), (7,)], "start long"), 4)
+    assert {(r["start"], r["path"], r["distance"]) for r in far.collect()} == {(s, s + d, d) for s in (0, 100, 7) for d in range(1, 5)}
+    assert {r["node"]: r["scc"] for r in graph.strongly_connected(chain).collect()} == {i: i for i in range(n + 1)} | dict.fromkeys(range(100, 108), 100)
+
+
+def test_first_rows_of_directories(spark):
+    df = spark.createDataFrame([("a", i) for i in range(9)] + [("b", 1), (None, 2), (None, 1)], "d string, x int").repartition(5)
+    got = sorted((str(r["d"]), r["x"], r["position"], r["n_entries"]) for r in edges.capped_per_directory(df, "d", ["x"], 2).collect())
+    assert got == [("None", 1, 1, 2), ("None", 2, 2, 2), ("a", 0, 1, 9), ("a", 1, 2, 9), ("b", 1, 1, 1)]
 
 
 def test_upsert_prefers_rank_then_order(spark):
