@@ -36,34 +36,44 @@ class PreTokenCounter:
             self.known.update(zip(new, map(len, ids), strict=True))
         return np.fromiter(map(self.known.__getitem__, pre), np.int64, len(pre))
 
+    def measured(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Lengths and token counts of a text's pre-tokens."""
+        pre = self.pattern.findall(text)
+        return np.fromiter(map(len, pre), np.int64, len(pre)), self.counts(pre)
+
+
+def packed(lens: np.ndarray, toks: np.ndarray) -> bytes:
+    """Pre-tokens as bytes: the width of a number, their lengths, their token counts."""
+    top = max(lens.max(initial=0), toks.max(initial=0))
+    width = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4
+    return bytes([width]) + lens.astype(f"<u{width}").tobytes() + toks.astype(f"<u{width}").tobytes()
+
+
+def unpacked(stored: bytes) -> tuple[np.ndarray, np.ndarray]:
+    lens, toks = np.frombuffer(stored, f"<u{stored[0]}", offset=1).astype(np.int64).reshape(2, -1)
+    return lens, toks
+
 
 class CountTree:
     """Leaves hold the lengths and token counts of some pre-tokens; inner nodes the sums over their subtrees."""
 
     def __init__(self, counter: PreTokenCounter, text: str, stored: bytes | None = None):
         self.counter, self.text, self.encoded = counter, text, 0
-        if stored is None:
-            pre = counter.pattern.findall(text)
-            lens, toks = np.fromiter(map(len, pre), np.int64, len(pre)), counter.counts(pre)
-        else:
-            width = stored[0]
-            lens, toks = np.frombuffer(stored, f"<u{width}", offset=1).astype(np.int64).reshape(2, -1)
+        lens, toks = counter.measured(text) if stored is None else unpacked(stored)
         self.leaves = [(lens[i : i + LEAF], toks[i : i + LEAF]) for i in range(0, len(lens), LEAF)] or [(lens, toks)]
-        self._build()
+        self._build(lens, toks, np.arange(0, len(lens), LEAF))
 
-    def _build(self) -> None:
+    def _build(self, lens: np.ndarray, toks: np.ndarray, starts: np.ndarray) -> None:
         n = 1 << (len(self.leaves) - 1).bit_length()
         self.sums = np.zeros((2 * n, 2), np.int64)
-        self.sums[n : n + len(self.leaves)] = [(le.sum(), to.sum()) for le, to in self.leaves]
+        if len(starts):
+            self.sums[n : n + len(starts), 0], self.sums[n : n + len(starts), 1] = np.add.reduceat(lens, starts), np.add.reduceat(toks, starts)
         while n > 1:
             self.sums[n // 2 : n] = self.sums[n : 2 * n : 2] + self.sums[n + 1 : 2 * n : 2]
             n //= 2
 
     def stored(self) -> bytes:
-        """The leaves' pre-tokens as bytes: the width of a number, their lengths, their token counts."""
-        both = np.concatenate([le for le, _ in self.leaves] + [to for _, to in self.leaves])
-        width = 1 if both.max(initial=0) < 1 << 8 else 2 if both.max() < 1 << 16 else 4
-        return bytes([width]) + both.astype(f"<u{width}").tobytes()
+        return packed(*(np.concatenate([leaf[i] for leaf in self.leaves]) for i in (0, 1)))
 
     @property
     def tokens(self) -> int:
@@ -127,7 +137,9 @@ class CountTree:
             cut = [(own[0][i : i + LEAF], own[1][i : i + LEAF]) for i in range(0, len(own[0]), LEAF)]
             self.leaves[first : last + 1] = cut
             self.leaves = self.leaves or [own]
-            self._build()
+            sizes = np.fromiter((len(le) for le, _ in self.leaves), np.int64, len(self.leaves))
+            lens, toks = (np.concatenate([leaf[i] for leaf in self.leaves]) for i in (0, 1))
+            self._build(lens, toks, np.cumsum(sizes) - sizes if len(lens) else sizes[:0])
 
 
 def _by_slices(f, columns: list[str], model):
@@ -154,8 +166,8 @@ def counted_trees(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     model = docs.sparkSession.sparkContext.broadcast(Bpe.load(path))
 
     def count(counter: PreTokenCounter, r) -> tuple:
-        tree = CountTree(counter, r.text or "")
-        return (r.id, r.text, tree.stored(), tree.pre_tokens, tree.tokens, *([r.edits] if edits_col else []))
+        lens, toks = counter.measured(r.text or "")
+        return (r.id, r.text, packed(lens, toks), len(lens), int(toks.sum()), *([r.edits] if edits_col else []))
 
     edits = [F.col(edits_col).cast(EDITS).alias("edits")] if edits_col else []
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), *edits)
