@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.functions import paths
+from orrery.functions.lineage import cut
 from orrery.operators import diff as diffs
 from orrery.operators import edges, graph, quality, render, resolve, search
 from orrery.sources import store
@@ -25,7 +26,11 @@ VERSION = "0.1"
 
 @dataclass
 class Settings:
-    """Limits of a run; the model is a callable from a prompt to an answer, or None for what is parsed alone."""
+    """Limits of a run; the model is a callable from a prompt to an answer, or None for what is parsed alone.
+
+    The scorer adds ``score`` to rows: to ``(path, summary, content)`` how far a summary is borne out by the file (0 to 1),
+    and to ``(path, text)`` how central a module or file is (0 to 3). It gets whole tables, so it may work in batches.
+    """
 
     max_files: int = 200
     max_file_chars: int = 4000
@@ -84,15 +89,33 @@ def build_map(spark: SparkSession, root: str, settings: Settings | None = None)
         a, b = _normal(tables["ast_edges"]), _normal(tables["llm_edges"])
         known = list(paths.LANGUAGES)
         meta["faithfulness"] = quality.faithfulness(a, b, F.col("kind").isin(*quality.COMPARABLE) & paths.extension(F.col("src")).isin(*known) & paths.extension(F.col("dst")).isin(*known)).first().asDict()
+    if s.scorer and tables.get("llm_edges") is not None:
+        _scored(s, files, tables, meta)
     return store.CodeMapTables(tables, meta)
 
 
+def _scored(s: Settings, files: DataFrame, tables: dict[str, DataFrame | None], meta: dict) -> None:
+    """Scores of summaries and roles of modules and files, where there are a scorer and a model's tables."""
+    merged = edges.merge_edges(_normal(tables["ast_edges"]), _normal(tables["llm_edges"])) if tables["ast_edges"] is not None else _normal(tables["llm_edges"])
+    degrees = edges.file_degree(merged)
+    rows = quality.evidence_rows(tables["file_summaries"], render.redacted(files, s.max_file_chars))
+    judged = cut(s.scorer(rows.where("content is not null")).select("path", F.col("score").cast("double").alias("score")))
+    tables["evidence"] = rows.select("path").join(judged, "path", "left")
+    meta["evidence"] = quality.evidence(tables["evidence"]).first().asDict()
+    role = lambda t: cut(s.scorer(t).select("path", F.least(F.greatest(F.col("score").cast("double"), F.lit(0.0)), F.lit(quality.ROLES)).alias("role")))
+    modules = tables["modules"].drop("role", "degree")
+    of_modules = role(modules.select("path", F.concat_ws(" ", "path", "name", "description").alias("text")))
+    tables["modules"] = modules.join(of_modules, "path", "left").join(edges.prefix_degrees(modules.select("path").distinct(), degrees), "path", "left").select("path", "name", "description", "role", "degree")
+    of_files = role(tables["file_summaries"].select("path", F.col("summary").alias("text")))
+    tables["file_importance"] = quality.fused_importance(of_files.join(degrees, "path", "left").select("path", "role", F.coalesce("degree", F.lit(0)).alias("degree")))
+
+
 def write_and_diff(spark: SparkSession, m: store.CodeMapTables, folder: str) -> tuple[DataFrame | None, dict[str, bool], str]:
     """Write a map over the one in the folder; what changed, which dimensions were compared, and the old map's state."""
     old, state = store.load_baseline(spark, folder, m.meta.get("engine_version"))
     found, compared = diffs.diff_runs(old.tables, m.tables) if old else (None, {})
     if found is not None:
-        found = spark.createDataFrame(found.collect(), found.schema)  # the old version goes when the new one is there
+        found = cut(found)  # the old version goes when the new one is there
     store.write_map(m, folder)
     return found, compared, state
 
@@ -112,6 +135,14 @@ class CodeMap:
     def candidates(self, path: str) -> list[str]:
         return [r["path"] for r in resolve.resolve_path(self.known, path).collect()]
 
+    def lookup(self, path: str) -> dict:
+        """Whether a path means one known path, and which; else what it may have meant."""
+        names = self.candidates(path)
+        if len(names) == 1:
+            return {"found": True, "query": path, "path": names[0]}
+        hint = "Several paths match; name one of them." if names else "No known path matches; try find."
+        return {"found": False, "query": path, "candidates": names, "hint": hint}
+
     def overview(self) -> DataFrame:
         """One row of counts; null for a table that was not made. Cycles of tests only count apart."""
         out = self.edges.agg(F.count("*").alias("edges"), F.count_if(F.col("source") == "both").alias("confirmed"))
@@ -136,7 +167,7 @@ class CodeMap:
         p = self.resolve(path)
         at = F.col("path") == p
         return {
-            "module": self.t["modules"].where(at), "summary": self.t["file_summaries"].where(at), "entry_points": self.t["entry_points"].where(at), "neighbors": edges.neighbors(self.edges, p),
+            "degrees": edges.neighbor_counts(self.edges).where(at), "module": self.t["modules"].where(at), "summary": self.t["file_summaries"].where(at), "entry_points": self.t["entry_points"].where(at), "neighbors": edges.neighbors(self.edges, p),
             "quick_reference": self.t["quick_reference"].where(F.split_part("location", F.lit(":"), F.lit(1)) == p), "cycles": self.t["cycles"].where(F.array_contains("nodes", F.lit(p))) if p else self.t["cycles"].where("false"),
         }
 
@@ -146,7 +177,18 @@ class CodeMap:
     def entry_points(self) -> DataFrame:
         return self.t["entry_points"].orderBy("path", "name")
 
+    def importance(self, limit: int = 40) -> DataFrame:
+        """Files by falling importance, where a scorer was asked."""
+        return self.t["file_importance"].orderBy(F.desc("fused"), "path").limit(limit)
+
     def find(self, query: str, limit: int = 20) -> DataFrame:
+        return search.find(self._corpus(), query, limit)
+
+    def count_hits(self, query: str) -> int:
+        """How many hits there are without a limit."""
+        return search.hits(self._corpus(), query).count()
+
+    def _corpus(self) -> DataFrame:
         t = self.t
         corpora = [
             t["quick_reference"].select(F.lit("quick_reference").alias("kind"), F.col("location").alias("path"), F.concat_ws(" ", "query", "location").alias("text")),
@@ -160,7 +202,7 @@ class CodeMap:
         for i, c in enumerate(corpora):
             c = c.withColumn("seq", F.struct(F.lit(i).alias("table"), "text"))
             all_ = c if all_ is None else all_.unionByName(c)
-        return search.find(all_, query, limit)
+        return all_
 
     def semantic_find(self, query: str, scorer: Callable[[DataFrame], DataFrame] | None, limit: int = 10) -> DataFrame:
         """Ranked by a scorer that adds ``score`` to ``(path, text, query)``; without one, by words."""

@@ -46,6 +46,16 @@ def diff_runs(old: dict[str, DataFrame], new: dict[str, DataFrame]) -> tuple[Dat
     return out, compared
 
 
+def changes_json(diff: DataFrame | None, compared: dict[str, bool], state: str) -> dict:
+    """What changed as plain values: ``baseline, compared, all_compared, has_changes, changes`` (by dimension, what was
+    added and removed, sorted). Without a diff nothing changed that is known of."""
+    rows = [] if diff is None else diff.groupBy("dimension", "change").agg(F.array_sort(F.collect_list("item")).alias("items")).collect()  # two rows for each of seven dimensions
+    changes: dict[str, dict[str, list[str]]] = {}
+    for r in rows:
+        changes.setdefault(r["dimension"], {"added": [], "removed": []})[r["change"]] = list(r["items"])
+    return {"baseline": state, "compared": dict(compared), "all_compared": bool(compared) and all(compared.values()), "has_changes": bool(rows), "changes": changes}
+
+
 def staleness(recorded: Column, head: Column) -> Column:
     """fresh, stale, or unknown where a commit is not known."""
     return F.when(recorded.isNull() | head.isNull(), "unknown").when(recorded == head, "fresh").otherwise("stale")

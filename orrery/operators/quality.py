@@ -27,6 +27,18 @@ def evidence(scores: DataFrame, low: float = 0.5) -> DataFrame:
     return scores.agg(F.avg("score").alias("mean"), F.count("score").alias("scored"), F.count_if(F.col("score").isNull()).alias("skipped"), F.count_if(F.col("score") < low).alias("n_low"))
 
 
+def evidence_rows(summaries: DataFrame, contents: DataFrame, least: int = 64) -> DataFrame:
+    """``path, summary, content`` for a scorer; content is null where the file was not read, or says too little to judge by
+    (fewer than ``least`` characters but for white space at its ends)."""
+    j = summaries.select("path", "summary").join(contents.select("path", "content"), "path", "left")
+    return j.withColumn("content", F.when(F.length(F.trim("content", F.lit(" \t\n\r\x0b\f"))) >= least, F.col("content")))
+
+
+def low_evidence(scores: DataFrame, low: float = 0.5) -> DataFrame:
+    """The rows ``path, score`` under ``low``, the lowest first."""
+    return scores.where(F.col("score") < low).orderBy("score", "path").select("path", "score")
+
+
 def degree_rank(degrees: DataFrame) -> DataFrame:
     """Adds ``rank``: the place of a row's degree among the distinct degrees, from 0 to 1; 1 if there is one only.
 

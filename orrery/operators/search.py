@@ -37,16 +37,17 @@ def token_score(tokens: list[str], text: Column) -> Column:
     return F.coalesce(functools.reduce(lambda a, b: a + b, map(one, tokens), F.lit(0)), F.lit(0))
 
 
-def find(corpus: DataFrame, query: str, limit: int = 20) -> DataFrame:
-    """Hits of ``corpus(kind, path, text, seq)``: ``kind, path, score``, by falling score, path, then order of entry.
-
-    A row is a hit if its words score; its kind's bonus comes on top.
-    """
-    limit = max(0, min(limit, 1000))
+def hits(corpus: DataFrame, query: str) -> DataFrame:
+    """Rows of ``corpus(kind, path, text, seq)`` whose words score, with ``score``: their kind's bonus comes on top."""
     raw = token_score(query_tokens(query), F.col("text"))
     bonus = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in BONUS.items() for x in kv]), F.col("kind")), F.lit(0))
-    hits = corpus.withColumn("raw", raw).where("raw > 0").withColumn("score", F.col("raw") + bonus)
-    return hits.orderBy(F.desc("score"), "path", "seq").limit(limit).select("kind", "path", "score")
+    return corpus.withColumn("raw", raw).where("raw > 0").withColumn("score", F.col("raw") + bonus)
+
+
+def find(corpus: DataFrame, query: str, limit: int = 20) -> DataFrame:
+    """Hits of ``corpus(kind, path, text, seq)``: ``kind, path, score``, by falling score, path, then order of entry."""
+    limit = max(0, min(limit, 1000))
+    return hits(corpus, query).orderBy(F.desc("score"), "path", "seq").limit(limit).select("kind", "path", "score")
 
 
 def cosine(a: Column, b: Column) -> Column:

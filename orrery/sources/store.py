@@ -27,6 +27,8 @@ EMPTY = {
     "db_tables": "name string, columns array<struct<name:string,type:string,constraints:string>>, description string",
     "tests": "file string, covers string",
     "notes": "note string",
+    "evidence": "path string, score double",
+    "file_importance": "path string, role double, degree long, fused double",
     "cycles": "nodes array<string>, length int, risk_score double, test_only boolean",
 }
 

@@ -192,6 +192,35 @@ def test_map_from_tree_to_answers(spark, tmp_path):
         store.write_map(m2, str(tmp_path / "link"))
 
 
+def test_scores_roles_and_answers_to_unknown_paths(spark, tmp_path):
+    body = "from app import routes\n" + "# " + "starts the server and waits for requests " * 3 + "\n"
+    root = make(tmp_path / "t", {**TREE, "app/main.py": body})
+    answer = {"modules": [{"path": "app", "name": "app", "description": "core"}], "import_edges": [{"from_path": "app/main.py", "to_path": "app/routes.py", "kind": "from"}], "db_tables": [{"name": "users", "columns": [{"name": "id", "type": "int", "constraints": "pk"}]}]}
+    answer["file_summaries"] = [{"path": "app/main.py", "summary": "starts the server"}, {"path": "app/routes.py", "summary": "routes"}, {"path": "gone.py", "summary": "nothing"}]
+
+    def scorer(df):
+        return df.withColumn("score", F.lit(0.25)) if "content" in df.columns else df.withColumn("score", F.when(F.contains("path", F.lit("main")), 9.0).otherwise(1.5))
+
+    m = api.build_map(spark, root, api.Settings(model=lambda p: json.dumps(answer), scorer=scorer))
+    assert m.meta["evidence"] == {"mean": 0.25, "scored": 1, "skipped": 2, "n_low": 1}
+    assert rows(quality.low_evidence(m["evidence"])) == [("app/main.py", 0.25)]
+    assert m["modules"].select("role", "degree").collect() == [(1.5, 7)] and m["db_tables"].count() == 1
+    api.write_and_diff(spark, m, f"{tmp_path}/out")
+    q = api.CodeMap(store.load_map(spark, f"{tmp_path}/out"))
+    assert [(r["path"], r["role"], r["fused"]) for r in q.importance().collect()] == [("app/main.py", 3.0, 1.0), ("app/routes.py", 1.5, 0.5), ("gone.py", 1.5, 0.3)]
+    assert q.lookup("main.py") == {"found": True, "query": "main.py", "path": "app/main.py"}
+    lost = q.lookup("nope.py")
+    assert not lost["found"] and lost["candidates"] == [] and lost["hint"]
+    assert q.count_hits("server") >= 1 and q.module("main.py")["degrees"].first()["n_out"] == 1
+    over = q.overview().first()
+    assert (over["db_tables"], over["file_summaries"], over["test_cycles"]) == (1, 3, 0)
+    e = spark.createDataFrame([("a", "b", "import")], "src string, dst string, kind string")
+    found, compared = diff.diff_runs({"ast_edges": None, "llm_edges": e}, {"ast_edges": e, "llm_edges": e.where("false")})
+    told = diff.changes_json(found, compared, "normal")
+    assert told["has_changes"] and not told["all_compared"] and told["changes"] == {"import_edges": {"added": [], "removed": ["a -> b (import)"]}}
+    assert not diff.changes_json(None, {}, "first_run")["has_changes"]
+
+
 def test_missing_tables_are_not_compared(spark):
     e = spark.createDataFrame([("a", "b", "import")], "src string, dst string, kind string")
     found, compared = diff.diff_runs({"ast_edges": None, "llm_edges": e}, {"ast_edges": e, "llm_edges": e.where("false")})
