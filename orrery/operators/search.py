@@ -23,18 +23,19 @@ def token_score(tokens: list[str], text: Column) -> Column:
     """For each token 3 if it is a word of the text, else 2 if it begins one or one begins it (four letters at least), else
     1 if it occurs at all; words are divided at slashes, dots, underscores and white space."""
     hay = F.lower(text)
-    # Every word stands between spaces, so that words and their beginnings are found without dividing the text.
+    # Every word stands between spaces, so that words and their beginnings are found without dividing the text. Both forms
+    # of the text are bound to a name, or they would be made again for each comparison.
     words = F.concat(F.lit(" "), F.translate(hay, "/._\t\n\x0b\f\r", " " * 8), F.lit(" "))
-    has = lambda x: F.contains(words, F.lit(x))
 
-    def one(t: str) -> Column:
-        begins = [has(f" {t}"), *(has(f" {t[:n]} ") for n in range(4, len(t)))] if len(t) >= 4 else []
+    def one(t: str, x: Column) -> Column:
+        has = lambda s: F.contains(x["words"], F.lit(s))
         out = F.when(has(f" {t} "), 3)
-        if begins and not set(t) & set("/._"):
-            out = out.when(functools.reduce(lambda a, b: a | b, begins), 2)
-        return out.when(F.contains(hay, F.lit(t)), 1).otherwise(0)
+        if len(t) >= 4 and not set(t) & set("/._"):
+            out = out.when(functools.reduce(lambda a, b: a | b, [has(f" {t}"), *(has(f" {t[:n]} ") for n in range(4, len(t)))]), 2)
+        return out.when(F.contains(x["hay"], F.lit(t)), 1).otherwise(0)
 
-    return F.coalesce(functools.reduce(lambda a, b: a + b, map(one, tokens), F.lit(0)), F.lit(0))
+    forms = F.array(F.struct(hay.alias("hay"), words.alias("words")))
+    return F.coalesce(F.transform(forms, lambda x: functools.reduce(lambda a, b: a + b, [one(t, x) for t in tokens], F.lit(0)))[0], F.lit(0))
 
 
 def hits(corpus: DataFrame, query: str) -> DataFrame:
