@@ -15,7 +15,7 @@ from orrery.functions.lineage import dropped, written
 from orrery.llm.bpe import _byte_of_char
 
 #: Pieces that are packed together.
-BLOCK = 4096
+BLOCK = 16384
 #: Islands of a block, packings on an island, rounds between which the best ones migrate, generations of a round.
 ISLANDS, PACKINGS, MIGRATIONS, GENERATIONS = 2, 6, 2, 16
 #: Share of a sequence that may stay free before the next level packs its pieces again.
@@ -208,7 +208,7 @@ def _island_rounds(capacity: int, count: int, generations: int, turn: int):
 
 def _chosen(capacity: int, slack: int):
     """Places of each block's pieces in the best packing of its islands. ``open`` are the pieces in bins with more than
-    ``slack`` room, of which the emptiest are taken that hold a fourth of the block's pieces (but one bin at least)."""
+    ``slack`` room, of which the emptiest are taken that hold half of the block's pieces (but one bin at least)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -223,7 +223,7 @@ def _chosen(capacity: int, slack: int):
                 wide = wide[np.argsort(loads[wide], kind="stable")]
                 held = np.cumsum(np.bincount(bins)[wide])
                 again = np.zeros(len(loads), bool)
-                again[wide[: max(1, np.searchsorted(held, len(bins) // 4, "right"))]] = True
+                again[wide[: max(1, np.searchsorted(held, len(bins) // 2, "right"))]] = True
                 base = np.repeat((ends - sizes[order])[first], np.bincount(bins))
                 yield pd.DataFrame({"uid": np.asarray(row.uids)[order], "length": sizes[order], "sequence_id": (int(row.level) << 56) + (int(row.block) << 20) + bins[order].astype(np.int64), "offset": ends - sizes[order] - base, "open": again[bins[order]]})
 
@@ -261,7 +261,7 @@ def packed(pieces: DataFrame, capacity: int = 1024, length_col: str = "length",
     well-filled sequences of another one, pieces that are then there twice leave their old sequences, and what these held
     besides is fitted best into the room there is. Between rounds each island's best packing migrates to the next island.
     Each block's best packing counts; of the sequences that it leaves open, the emptiest are taken apart and packed again at
-    the next level, in a fourth of the blocks or fewer, until one is left. Which pieces meet hangs on their numbers alone, so one
+    the next level, in half as many blocks or fewer, until one is left. Which pieces meet hangs on their numbers alone, so one
     document, however often it occurs, makes no task larger; a piece of full length is a sequence and is not dealt.
 
     Returns the columns of ``pieces`` with ``sequence_id`` (any number) and ``offset`` (place in it, gapless from 0). Rows
