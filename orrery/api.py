@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.functions import paths
-from orrery.functions.lineage import cut
+from orrery.functions.lineage import cut, written
 from orrery.operators import diff as diffs
-from orrery.operators import edges, graph, quality, render, resolve, search
+from orrery.operators import edges, find_index, graph, quality, render, resolve, search
 from orrery.sources import store
 from orrery.sources.answers import answer_tables, requested_files
 from orrery.sources.edges import import_edges
@@ -111,15 +111,35 @@ def _scored(s: Settings, files: DataFrame, tables: dict[str, DataFrame | None],
 
 
 def write_and_diff(spark: SparkSession, m: store.CodeMapTables, folder: str) -> tuple[DataFrame | None, dict[str, bool], str]:
-    """Write a map over the one in the folder; what changed, which dimensions were compared, and the old map's state."""
+    """Write a map, with an index to search it, over the one in the folder (whose index serves for rows that stay); what changed, which dimensions were compared, and the old map's state."""
     old, state = store.load_baseline(spark, folder, m.meta.get("engine_version"))
     found, compared = diffs.diff_runs(old.tables, m.tables) if old else (None, {})
     if found is not None:
         found = cut(found)  # the old version goes when the new one is there
+    corpus = find_corpus(m)
+    indexed = old is not None and all(old.has(n) for n in find_index.TABLES)
+    m.tables |= find_index.refreshed({n: old[n] for n in find_index.TABLES}, corpus, written) if indexed else find_index.build(corpus, written)
     store.write_map(m, folder)
     return found, compared, state
 
 
+def find_corpus(t: store.CodeMapTables) -> DataFrame:
+    """What a map has to search in: ``kind, path, text, seq``."""
+    corpora = [
+        t["quick_reference"].select(F.lit("quick_reference").alias("kind"), F.col("location").alias("path"), F.concat_ws(" ", "query", "location").alias("text")),
+        t["modules"].select(F.lit("module").alias("kind"), "path", F.concat_ws(" ", "path", "name", "description").alias("text")),
+        t["entry_points"].select(F.lit("entry_point").alias("kind"), "path", F.concat_ws(" ", "path", "name", "description").alias("text")),
+        t["file_summaries"].select("path", F.explode_outer("symbols").alias("s")).where("s is not null").select(F.lit("symbol").alias("kind"), "path", F.concat_ws(" ", "s.name", "s.description").alias("text")),
+        t["file_summaries"].select(F.lit("file_summary").alias("kind"), "path", F.concat_ws(" ", "path", "summary").alias("text")),
+    ]
+    # Hits that are alike in score and path come in the order of the tables, then of their texts.
+    all_ = None
+    for i, c in enumerate(corpora):
+        c = c.withColumn("seq", F.struct(F.lit(i).alias("table"), "text"))
+        all_ = c if all_ is None else all_.unionByName(c)
+    return all_
+
+
 class CodeMap:
     """Questions to a map."""
 
@@ -181,28 +201,29 @@ class CodeMap:
         """Files by falling importance, where a scorer was asked."""
         return self.t["file_importance"].orderBy(F.desc("fused"), "path").limit(limit)
 
+    def _index(self) -> dict[str, DataFrame]:
+        """The index that was written with the map; a map that was not written has none and makes one."""
+        if all(self.t.has(n) for n in find_index.TABLES):
+            return {n: self.t[n] for n in find_index.TABLES}
+        return find_index.build(find_corpus(self.t))
+
     def find(self, query: str, limit: int = 20) -> DataFrame:
-        return search.find(self._corpus(), query, limit)
+        """``kind, path, score`` of the best hits: from postings where the map was written with an index, else from texts."""
+        if not self.t.has("find_postings"):
+            return search.find(find_corpus(self.t), query, limit)
+        asked = self.edges.sparkSession.createDataFrame([(0, query)], "qid int, question string")
+        return find_index.find_many(self._index(), asked, limit).orderBy("position").select("kind", "path", "score")
+
+    def find_many(self, questions: DataFrame, limit: int = 20) -> DataFrame:
+        """The best hits of each of ``questions(qid, question)``, in one job (see ``find_index.find_many``)."""
+        return find_index.find_many(self._index(), questions, limit)
 
     def count_hits(self, query: str) -> int:
         """How many hits there are without a limit."""
-        return search.hits(self._corpus(), query).count()
-
-    def _corpus(self) -> DataFrame:
-        t = self.t
-        corpora = [
-            t["quick_reference"].select(F.lit("quick_reference").alias("kind"), F.col("location").alias("path"), F.concat_ws(" ", "query", "location").alias("text")),
-            t["modules"].select(F.lit("module").alias("kind"), "path", F.concat_ws(" ", "path", "name", "description").alias("text")),
-            t["entry_points"].select(F.lit("entry_point").alias("kind"), "path", F.concat_ws(" ", "path", "name", "description").alias("text")),
-            t["file_summaries"].select("path", F.explode_outer("symbols").alias("s")).where("s is not null").select(F.lit("symbol").alias("kind"), "path", F.concat_ws(" ", "s.name", "s.description").alias("text")),
-            t["file_summaries"].select(F.lit("file_summary").alias("kind"), "path", F.concat_ws(" ", "path", "summary").alias("text")),
-        ]
-        # Hits that are alike in score and path come in the order of the tables, then of their texts.
-        all_ = None
-        for i, c in enumerate(corpora):
-            c = c.withColumn("seq", F.struct(F.lit(i).alias("table"), "text"))
-            all_ = c if all_ is None else all_.unionByName(c)
-        return all_
+        if not self.t.has("find_postings"):
+            return search.hits(find_corpus(self.t), query).count()
+        asked = self.edges.sparkSession.createDataFrame([(0, query)], "qid int, question string")
+        return find_index.hits_many(self._index(), asked).count()
 
     def semantic_find(self, query: str, scorer: Callable[[DataFrame], DataFrame] | None, limit: int = 10) -> DataFrame:
         """Ranked by a scorer that adds ``score`` to ``(path, text, query)``; without one, by words."""

@@ -9,7 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Words that a question says little with.
-STOP_WORDS = ["how", "do", "does", "i", "the", "a", "an", "is", "are", "to", "in", "of", "for", "on", "where", "what", "which", "it", "and", "or"]
+STOP_WORDS = "a an and are as at by do does find for from how i in is it of on or the this to what where which who".split()
+#: White space that divides words, and what else does within texts.
+WHITE = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+SEPARATORS = "/._"
 #: What each kind of text adds to its hits' scores.
 BONUS = {"quick_reference": 2, "module": 0, "entry_point": 0, "symbol": 0, "file_summary": -1}
 
@@ -25,12 +28,12 @@ def token_score(tokens: list[str], text: Column) -> Column:
     hay = F.lower(text)
     # Every word stands between spaces, so that words and their beginnings are found without dividing the text. Both forms
     # of the text are bound to a name, or they would be made again for each comparison.
-    words = F.concat(F.lit(" "), F.translate(hay, "/._\t\n\x0b\f\r", " " * 8), F.lit(" "))
+    words = F.concat(F.lit(" "), F.translate(hay, SEPARATORS + WHITE, " " * len(SEPARATORS + WHITE)), F.lit(" "))
 
     def one(t: str, x: Column) -> Column:
         has = lambda s: F.contains(x["words"], F.lit(s))
         out = F.when(has(f" {t} "), 3)
-        if len(t) >= 4 and not set(t) & set("/._"):
+        if len(t) >= 4:
             out = out.when(functools.reduce(lambda a, b: a | b, [has(f" {t}"), *(has(f" {t[:n]} ") for n in range(4, len(t)))]), 2)
         return out.when(F.contains(x["hay"], F.lit(t)), 1).otherwise(0)
 

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from orrery import api
 from orrery.functions import paths, text
-from orrery.operators import budget, diff, edges, graph, quality, resolve, search
+from orrery.functions.lineage import written
+from orrery.operators import budget, diff, edges, find_index, graph, quality, resolve, search
 from orrery.sources import store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -354,10 +355,33 @@ def _score_sql(tokens: list[str], c: str) -> str:
 w AS (SELECT *, lower(text) AS h, string_split_regex(lower(text), '[/._\\s]+') AS w FROM c), s AS (SELECT *, {_score_sql(["thation", "erand", "steel"], "text")} AS raw FROM w)
 SELECT kind, path, raw + CASE kind WHEN 'quick_reference' THEN 2 WHEN 'file_summary' THEN -1 ELSE 0 END AS score FROM s WHERE raw > 0 ORDER BY score DESC, path, seq LIMIT 50""")
 def find_ranked(spark, d):
+    """Asked with every word that says little."""
+    return search.find(_search_corpus(spark, d), "A an and are as at by do does find for from how I in is it of on or the this to what where which who? Thation erand steel?", 50)
+
+
+def _search_corpus(spark, d):
     docs = _table(spark, d, "documents").select(F.lit("module").alias("kind"), F.col("doc_id").cast("string").alias("path"), "text", F.col("doc_id").alias("seq"))
     bench = _table(spark, d, "benchmark").select(F.lit("quick_reference").alias("kind"), F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("path"), "text", (F.col("item_id") + 1000000).alias("seq"))
     part = _table(spark, d, "part").select(F.lit("file_summary").alias("kind"), F.col("p_name").alias("path"), F.concat_ws(" ", "p_name", "p_type").alias("text"), (F.col("p_partkey") + 2000000).alias("seq"))
-    return search.find(docs.unionByName(bench).unionByName(part), "where is the Thation erand steel?", 50)
+    return docs.unionByName(bench).unionByName(part)
+
+
+@query("""WITH c AS (SELECT row_number() OVER () AS entry, * FROM (SELECT 'module' AS kind, CAST(doc_id AS VARCHAR) AS path, text, doc_id AS seq FROM documents UNION ALL SELECT 'quick_reference', 'b' || CAST(item_id AS VARCHAR), text, 1000000 + item_id FROM benchmark UNION ALL SELECT 'file_summary', p_name, p_name || ' ' || p_type, 2000000 + p_partkey FROM part)),
+q AS (SELECT DISTINCT 'Where is the ' || p_name || ' of type ' || p_type || '?' AS qid FROM part),
+t AS MATERIALIZED (SELECT qid, tok, count(*) AS times FROM (SELECT qid, unnest(string_split(lower(replace(qid, '?', ' ')), ' ')) AS tok FROM q) WHERE tok NOT IN ('', 'where', 'is', 'the', 'of') GROUP BY qid, tok),
+k AS (SELECT DISTINCT tok FROM t),
+w AS MATERIALIZED (SELECT DISTINCT entry, unnest(string_split_regex(lower(text), '[/._\\s]+')) AS word FROM c), v AS (SELECT DISTINCT word FROM w),
+g AS MATERIALIZED (SELECT DISTINCT entry, unnest(string_split_regex(lower(text), '\\s+')) AS word FROM c), u AS (SELECT DISTINCT word FROM g),
+m AS (SELECT tok, word, CASE WHEN tok = word THEN 3 ELSE 2 END AS points FROM k JOIN v ON tok = word OR length(tok) >= 4 AND length(word) >= 4 AND (starts_with(word, tok) OR starts_with(tok, word))),
+n AS (SELECT tok, word FROM k JOIN u ON contains(word, tok)),
+p AS (SELECT tok, entry, max(points) AS points FROM (SELECT tok, entry, points FROM m JOIN w USING (word) UNION ALL SELECT tok, entry, 1 FROM n JOIN g USING (word)) GROUP BY tok, entry),
+s AS (SELECT qid, entry, sum(points * times) AS raw FROM t JOIN p USING (tok) GROUP BY qid, entry),
+r AS (SELECT qid, kind, path, seq, raw + CASE kind WHEN 'quick_reference' THEN 2 WHEN 'file_summary' THEN -1 ELSE 0 END AS score FROM s JOIN c USING (entry))
+SELECT qid, CAST(position AS INTEGER) AS position, kind, path, CAST(score AS INTEGER) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, path, seq) AS position FROM r) WHERE position <= 20""")
+def find_many_ranked(spark, d):
+    """A question for every name and type of a part, all answered by one plan over the index of documents, items and parts."""
+    asked = _table(spark, d, "part").select(F.concat(F.lit("Where is the "), "p_name", F.lit(" of type "), "p_type", F.lit("?")).alias("qid")).distinct().withColumn("question", F.col("qid"))
+    return find_index.find_many(find_index.build(_search_corpus(spark, d), written), asked)
 
 
 @query("SELECT lang, count(*) AS n FROM documents GROUP BY lang")
