@@ -119,10 +119,16 @@ def write_and_diff(spark: SparkSession, m: store.CodeMapTables, folder: str) ->
     corpus = find_corpus(m)
     indexed = old is not None and all(old.has(n) for n in find_index.TABLES)
     m.tables |= find_index.refreshed({n: old[n] for n in find_index.TABLES}, corpus, written) if indexed else find_index.build(corpus, written)
+    m.tables |= resolve.path_index(known_of(m, edges.merge_edges(_normal(m["ast_edges"]), _normal(m["llm_edges"]))), keep=written)
     store.write_map(m, folder)
     return found, compared, state
 
 
+def known_of(t: store.CodeMapTables, merged: DataFrame) -> DataFrame:
+    """The paths that a map knows."""
+    return edges.known_paths((merged, "src"), (merged, "dst"), (t["modules"], "path"), (t["file_summaries"], "path"), (t["entry_points"], "path"))
+
+
 def find_corpus(t: store.CodeMapTables) -> DataFrame:
     """What a map has to search in: ``kind, path, text, seq``."""
     corpora = [
@@ -146,14 +152,26 @@ class CodeMap:
     def __init__(self, tables: store.CodeMapTables):
         self.t = tables
         self.edges = edges.merge_edges(_normal(tables["ast_edges"]), _normal(tables["llm_edges"])).cache()
-        self.known = edges.known_paths((self.edges, "src"), (self.edges, "dst"), (tables["modules"], "path"), (tables["file_summaries"], "path"), (tables["entry_points"], "path"))
+        self.known = known_of(tables, self.edges)
+
+    def _hits(self, path: str, most: int = 20) -> list[str]:
+        if all(self.t.has(n) for n in resolve.PATH_TABLES):
+            asked = self.edges.sparkSession.createDataFrame([(0, path)], "qid int, query string")
+            r = resolve.resolve_paths({n: self.t[n] for n in resolve.PATH_TABLES}, asked, most).first()
+            return [r["path"]] if r["path"] is not None else r["candidates"]
+        return [r["path"] for r in resolve.resolve_path(self.known, path, most).collect()]
 
     def resolve(self, path: str) -> str | None:
-        hits = resolve.resolve_path(self.known, path, 2).collect()
-        return hits[0]["path"] if len(hits) == 1 else None
+        hits = self._hits(path, 2)
+        return hits[0] if len(hits) == 1 else None
+
+    def resolve_many(self, queries: DataFrame) -> DataFrame:
+        """What the strings of ``queries(qid, query)`` mean, in one job (see ``resolve.resolve_paths``)."""
+        index = {n: self.t[n] for n in resolve.PATH_TABLES} if all(self.t.has(n) for n in resolve.PATH_TABLES) else resolve.path_index(self.known)
+        return resolve.resolve_paths(index, queries)
 
     def candidates(self, path: str) -> list[str]:
-        return [r["path"] for r in resolve.resolve_path(self.known, path).collect()]
+        return self._hits(path)
 
     def lookup(self, path: str) -> dict:
         """Whether a path means one known path, and which; else what it may have meant."""

@@ -47,13 +47,14 @@ def _terms(postings: DataFrame) -> DataFrame:
     return postings.groupBy("term", "piece").agg(F.count("*").alias("entries")).select("term", "piece", F.substring("term", 1, START).alias("start"), "entries")
 
 
-def _grams_of(text: Column, n: int) -> Column:
+def grams_of(text: Column, n: int) -> Column:
+    """The distinct runs of n letters of a text."""
     return F.when(F.length(text) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1))), lambda i: F.substring(text, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
 
 
 def _grams(terms: DataFrame) -> DataFrame:
     """All runs of one to three letters of each term."""
-    each = F.concat(*(_grams_of(F.col("term"), n) for n in range(1, GRAM + 1)))
+    each = F.concat(*(grams_of(F.col("term"), n) for n in range(1, GRAM + 1)))
     return terms.select(F.explode(each).alias("gram"), "term", "piece")
 
 
@@ -106,7 +107,7 @@ def _meant(tokens: DataFrame, index: dict[str, DataFrame]) -> DataFrame:
     near = tokens.where(F.length("tok") >= START).withColumn("start", F.substring("tok", 1, START)).join(words.where(F.length("term") >= START), "start")
     near = near.where(F.startswith("term", "tok") | F.startswith("tok", "term")).select("tok", "term", "piece", F.lit(2).alias("points"))
     # A token's rarest run of letters leads to the terms that may contain it.
-    runs = tokens.select("tok", F.explode(F.when(F.length("tok") >= GRAM, _grams_of(F.col("tok"), GRAM)).otherwise(F.array("tok"))).alias("gram"))
+    runs = tokens.select("tok", F.explode(F.when(F.length("tok") >= GRAM, grams_of(F.col("tok"), GRAM)).otherwise(F.array("tok"))).alias("gram"))
     asked = runs.select("gram").distinct()
     counts = index["find_grams"].join(asked, "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
     rarest = runs.join(counts, "gram", "left").groupBy("tok").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("m")).select("tok", "m.gram")

@@ -4,9 +4,18 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from orrery.functions.paths import norm_path
+from orrery.operators.edges import capped_per_directory
+from orrery.operators.find_index import GRAM, grams_of
+
+#: Tables of an index of paths.
+PATH_TABLES = ["path_endings", "path_grams"]
+
 
 def first_candidate(candidates: DataFrame, known: DataFrame, by: str = "id") -> DataFrame:
     """``id, path, prio`` of the candidate ``(id, prio, path)`` of least priority number that is a known path."""
@@ -55,3 +64,53 @@ def resolve_path(known: DataFrame, query: str, most: int = 20) -> DataFrame:
     best = hits.agg(F.min("tier").alias("best"), F.max(F.when(F.col("tier") == 2, F.length("path"))).alias("longest"))
     kept = hits.join(F.broadcast(best), F.col("tier") == F.col("best")).where((F.col("tier") != 2) | (F.length("path") == F.col("longest")))
     return kept.select("tier", "path").orderBy("path").limit(most)
+
+
+def path_index(known: DataFrame, most: int = 20, keep: Callable[[DataFrame, str], DataFrame] = lambda t, name: t) -> dict[str, DataFrame]:
+    """An index of ``known(path)`` for :func:`resolve_paths`, as tables to be written.
+
+    ``path_endings`` has a row for each path and each part of one behind a slash: whether it is a path itself, how many paths
+    end so, and the first ``most`` of them; common endings are combined before they are shuffled. ``path_grams`` has the
+    paths (in lower case) of each run of one to three letters, and of the empty one.
+    """
+    paths = known.select("path").where("path is not null").distinct()
+    parts = F.split("path", "/")
+    each = paths.select("path", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))).alias("ending"))
+    endings = capped_per_directory(each, "ending", ["path"], most).groupBy("ending").agg(F.max("n_entries").alias("n"), F.array_sort(F.collect_list("path")).alias("paths"))
+    # A path that is an ending of many others need not be among the first of them.
+    whole = paths.select(F.col("path").alias("ending"), F.lit(True).alias("whole"))
+    endings = endings.join(whole, "ending", "left").select("ending", F.coalesce("whole", F.lit(False)).alias("whole"), "n", "paths")
+    low = F.lower("path")
+    grams = paths.select(F.explode(F.concat(F.array(F.lit("")), *(grams_of(low, n) for n in range(1, GRAM + 1)))).alias("gram"), "path")
+    return {"path_endings": keep(endings, "path_endings"), "path_grams": keep(grams, "path_grams")}
+
+
+def resolve_paths(index: dict[str, DataFrame], queries: DataFrame, most: int = 20) -> DataFrame:
+    """What the strings of ``queries(qid, query)`` mean: ``qid, tier, path, candidates``, one row per query.
+
+    The tiers of :func:`resolve_path`; ``path`` is the one known path of the first tier that has any, else null, and
+    ``candidates`` then that tier's first ``most`` paths (none where no tier has any; ``tier`` is null then, and for a null
+    query). Strings meet endings by equality and, in the last tier only, the paths of their rarest run of letters, so no
+    query reads all paths; equal strings are resolved once. ``most`` is at most that of the index.
+    """
+    asked = queries.select("qid", norm_path(F.col("query")).alias("q"))
+    strings = asked.select("q").where("q is not null").distinct()
+    endings = index["path_endings"]
+    ended = strings.join(endings.withColumnRenamed("ending", "q"), "q").select("q", F.when(F.col("whole"), 0).otherwise(1).alias("tier"), F.when(F.col("whole"), F.array("q")).otherwise(F.col("paths")).alias("paths"), F.when(F.col("whole"), 1).otherwise(F.col("n")).alias("n"))
+    rest = strings.join(ended, "q", "left_anti")
+    parts = F.split("q", "/")
+    tails = rest.select("q", F.explode(F.transform(F.when(F.size(parts) > 1, F.sequence(F.lit(2), F.size(parts))).otherwise(F.array().cast("array<int>")), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))).alias("ending"))
+    longer = tails.join(endings.where("whole").select("ending"), "ending").groupBy("q").agg(F.max_by("ending", F.length("ending")).alias("path")).select("q", F.lit(2).alias("tier"), F.array("path").alias("paths"), F.lit(1).alias("n"))
+    rest = rest.join(longer, "q", "left_anti").where(~F.contains(F.substring_index("q", "/", -1), F.lit("."))).withColumn("low", F.lower("q"))
+    # The rarest of a string's runs of letters; a short string is a run itself.
+    runs = rest.select("q", "low", F.explode(F.when(F.length("low") >= GRAM, grams_of(F.col("low"), GRAM)).otherwise(F.array("low"))).alias("gram"))
+    grams = index["path_grams"]
+    counts = grams.join(runs.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("times"))
+    rarest = runs.join(counts, "gram").groupBy("q", "low").agg(F.min(F.struct("times", "gram")).alias("m")).select("q", "low", "m.gram")
+    inside = rarest.join(grams, "gram").where(F.contains(F.lower("path"), "low")).select("q", "path")
+    first = inside.withColumn("position", F.row_number().over(Window.partitionBy("q").orderBy("path"))).where(F.col("position") <= most)
+    held = first.groupBy("q").agg(F.array_sort(F.collect_list("path")).alias("paths")).select("q", F.lit(3).alias("tier"), "paths", F.size("paths").alias("n"))
+    found = ended.unionByName(longer).unionByName(held)
+    out = asked.join(found, "q", "left")
+    one = F.col("n") == 1
+    return out.select("qid", "tier", F.when(one, F.get("paths", F.lit(0))).alias("path"), F.when(one | F.col("n").isNull(), F.array().cast("array<string>")).otherwise(F.slice("paths", 1, most)).alias("candidates"))

@@ -347,6 +347,23 @@ def suffix_resolve_path(spark, d):
     return resolve.resolve_path(_table(spark, d, "pages").select(F.col("url").alias("path")), "fr/10")
 
 
+@query(f"""WITH k AS (SELECT DISTINCT {_PATH} AS path FROM pages),
+q AS (SELECT page_id AS qid, CASE page_id % 6 WHEN 0 THEN p WHEN 1 THEN regexp_replace(p, '^[^/]*/', '') WHEN 2 THEN '/home/repo/' || p WHEN 3 THEN upper(regexp_extract(p, '^[^.]*', 0)) WHEN 4 THEN './' || replace(regexp_extract(p, '[^/]*/[^/]*$', 0), '/', chr(92)) ELSE 'x.' || regexp_extract(p, '[^/]*$', 0) END AS query FROM (SELECT page_id, {_PATH} AS p FROM pages)),
+n AS (SELECT qid, regexp_replace(replace(query, chr(92), '/'), '^([.]/)+', '') AS q FROM q),
+m AS (SELECT qid, path, CASE WHEN path = q THEN 0 WHEN ends_with(path, '/' || q) THEN 1 WHEN ends_with(q, '/' || path) THEN 2 WHEN NOT contains(regexp_extract(q, '[^/]*$', 0), '.') AND contains(lower(path), lower(q)) THEN 3 END AS tier FROM n, k),
+t AS (SELECT qid, min(tier) AS tier FROM m WHERE tier IS NOT NULL GROUP BY qid),
+r AS (SELECT m.qid, m.tier, path, row_number() OVER (PARTITION BY m.qid ORDER BY CASE WHEN m.tier = 2 THEN -length(path) END, path) AS k, count(*) OVER (PARTITION BY m.qid) AS n FROM m JOIN t ON m.qid = t.qid AND m.tier = t.tier),
+g AS (SELECT qid, CAST(any_value(tier) AS INTEGER) AS tier, CASE WHEN any_value(tier) = 2 OR any_value(n) = 1 THEN min(CASE WHEN k = 1 THEN path END) END AS path, CASE WHEN any_value(tier) <> 2 AND any_value(n) > 1 THEN string_agg(path, chr(10) ORDER BY path) FILTER (k <= 20) ELSE '' END AS candidates FROM r GROUP BY qid)
+SELECT n.qid, tier, path, coalesce(candidates, '') AS candidates FROM n LEFT JOIN g USING (qid)""")
+def resolve_paths_table(spark, d):
+    """Six ways of naming each page: its path, a part of it, more than it, a piece in capitals, with other slashes, wrong."""
+    pages = _url_paths(spark, d)
+    name = """CASE page_id % 6 WHEN 0 THEN path WHEN 1 THEN regexp_replace(path, '^[^/]*/', '') WHEN 2 THEN concat('/home/repo/', path) WHEN 3 THEN upper(regexp_extract(path, '^[^.]*', 0))
+        WHEN 4 THEN concat('./', replace(regexp_extract(path, '[^/]*/[^/]*$', 0), '/', char(92))) ELSE concat('x.', regexp_extract(path, '[^/]*$', 0)) END"""
+    found = resolve.resolve_paths(resolve.path_index(pages, keep=written), pages.selectExpr("page_id as qid", f"{name} as query"))
+    return found.withColumn("candidates", F.array_join("candidates", "\n"))
+
+
 def _score_sql(tokens: list[str], c: str) -> str:
     return " + ".join(f"CASE WHEN list_contains(w, '{t}') THEN 3 WHEN {len(t)} >= 4 AND len(list_filter(w, lambda x: length(x) >= 4 AND (starts_with(x, '{t}') OR starts_with('{t}', x)))) > 0 THEN 2 WHEN contains(h, '{t}') THEN 1 ELSE 0 END" for t in tokens)
 

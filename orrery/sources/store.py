@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from orrery.operators import find_index
+from orrery.operators import find_index, resolve
 
 SCHEMA_VERSION = 1
 MANIFEST = "manifest.json"
@@ -127,10 +127,10 @@ class CachedMap:
 
 
 def as_json(m: CodeMapTables) -> DataFrame:
-    """``name, value``: each table but the search index as JSON lines; nulls are left out of tables and kept in meta."""
+    """``name, value``: each table but the indexes as JSON lines; nulls are left out of tables and kept in meta."""
     spark = next(t.sparkSession for t in m.tables.values() if t is not None)
     out = spark.createDataFrame([("meta", json.dumps(m.meta, ensure_ascii=False))], "name string, value string")
     for name, t in m.tables.items():
-        if t is not None and name not in find_index.TABLES:
+        if t is not None and name not in find_index.TABLES and name not in resolve.PATH_TABLES:
             out = out.unionByName(t.select(F.lit(name).alias("name"), F.to_json(F.struct(*t.columns), {"ignoreNullFields": "true"}).alias("value")))
     return out
