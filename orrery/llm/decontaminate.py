@@ -86,6 +86,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` without the documents that contain a test item; rows with a null id stay."""
+    """``docs`` without the documents that contain a test item: all rows of an id go if these together contain one, as
+    :func:`contaminated` counts them as one document; rows with a null id stay."""
     gone = contaminated(docs, benchmark, id_col, **options).select(F.col("id").alias(id_col)).distinct()
     return docs.join(gone, id_col, "left_anti").select(docs.columns)

@@ -124,7 +124,29 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def near_duplicates_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 3) -> DataFrame:
-    """``docs`` with one document of each group: that with the smallest id. Rows with a null id stay."""
-    groups = simhash_components(docs, id_col, text_col, width, radius)
-    gone = groups.where("id <> component_id").select(F.col("id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti").select(docs.columns)
+    """``docs`` with one row of each group of near-duplicates: that with the smallest id (nulls last), of these the one whose
+    digest is smallest.
+
+    Rows are judged one by one by their fingerprints, whatever ids repeat: a row goes only if a row of its group stays. Of
+    rows that are alike in all columns one stays. Null and blank texts are a group, as in :func:`simhash_components`; no
+    rows give no rows; columns may have any names.
+    """
+    key = next(n for n in (f"_row{i}" for i in range(len(docs.columns) + 1)) if n not in docs.columns)
+    digest = F.unhex(F.substring(F.sha2(F.to_json(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), {"ignoreNullFields": "false"}), 256), 1, 32))
+    keyed = docs.withColumn(key, digest)
+
+    def batch(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"key": rows["key"], "id": rows["id"], "fp": [fingerprint(t, width) for t in rows["text"]]})
+
+    texts = keyed.select(F.col(key).alias("key"), F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = cut(texts.mapInPandas(by_batch(batch), "key binary, id string, fp long").withColumn("id", F.col("id").cast(docs.schema[id_col].dataType)))
+    nodes = rows.select(F.col("fp").alias("id"), "fp").distinct()
+    comps = connected_components(simhash_links(nodes, radius)).select(F.col("node").alias("fp"), "component")
+    distinct = rows.groupBy("key").agg(F.first("id").alias("id"), F.first("fp").alias("fp"), F.count("*").alias("n")).join(comps, "fp", "left").withColumn("group", F.coalesce("component", "fp"))
+    distinct = cut(distinct.select("key", "id", "n", "group"))
+    stays = distinct.groupBy("group").agg(F.min_by("key", F.struct(F.col("id").isNull(), "id", "key")).alias("stays"))
+    marked = distinct.join(stays, "group").select(F.col("key").alias(key), (F.col("key") != F.col("stays")).alias("gone"), "n").where("gone or n > 1")
+    marked = cut(marked)
+    alone = keyed.join(marked.select(key), key, "left_anti")
+    twice = keyed.join(marked.where("not gone").select(key), key, "left_semi").dropDuplicates([key])
+    return alone.unionByName(twice).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -1,9 +1,11 @@
 import hashlib
 
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline as C
+from orrery.llm import simhash
 from orrery.llm.common import ascii_words
 from tests.llm.test_simhash import brute_components, brute_fp
 
@@ -67,3 +69,23 @@ def test_run_and_empty_documents(spark, sf_dir):
     for _, stage in C.STAGES:
         docs = stage(spark, docs, sf_dir)
     assert docs.count() == 0
+
+
+def test_stages_with_repeated_and_null_ids_and_a_clashing_column(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    clean = [r for r in docs.where("length(text) between 400 and 2000").orderBy("doc_id").collect()]
+    a, b, c = clean[3], clean[-3], clean[len(clean) // 2]
+    rows = [(1, a.text), (7, a.text), (7, b.text), (8, c.text), (8, c.text), (None, b.text), (None, None), (3, ""), (2, "word " * 60_000)]
+    odd = spark.createDataFrame([(i, t, a.lang, a.source, len(t or ""), "x", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, label string, id int").withColumn("n_chars", F.col("n_chars").cast(docs.schema["n_chars"].dataType))
+    seen = odd
+    for name, stage in C.STAGES:
+        out = stage(spark, seen, sf_dir)
+        if name == "bpe encoding and decoding":
+            assert out.count() == seen.count()
+            break
+        assert out.columns == odd.columns, name
+        out = spark.createDataFrame(out.collect(), out.schema)
+        assert {r["doc_id"] for r in out.collect()} <= {r[0] for r in rows}, name
+        seen = out
+    left = simhash.near_duplicates_removed(odd)
+    assert sorted((r["doc_id"], r["text"]) for r in left.where("doc_id in (1, 7, 8)").collect()) == sorted([(1, a.text), (7, b.text), (8, c.text)])
