@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from orrery.functions import paths
 from orrery.functions.lineage import cut, written
 from orrery.operators import diff as diffs
-from orrery.operators import edges, find_index, graph, quality, render, resolve, search
+from orrery.operators import edges, find_index, graph, quality, render, resolve, scoring, search
 from orrery.sources import store
 from orrery.sources.answers import answer_tables, requested_files
 from orrery.sources.edges import import_edges
@@ -29,7 +29,9 @@ class Settings:
     """Limits of a run; the model is a callable from a prompt to an answer, or None for what is parsed alone.
 
     The scorer adds ``score`` to rows: to ``(path, summary, content)`` how far a summary is borne out by the file (0 to 1),
-    and to ``(path, text)`` how central a module or file is (0 to 3). It gets whole tables, so it may work in batches.
+    and to ``(path, text)`` how central a module or file is (0 to 3). It gets whole tables; ``scoring.batched`` makes one of
+    a function of a few rows, whose failures cost their own rows only. A scorer of tables that raises leaves no scores, and
+    the run goes on.
     """
 
     max_files: int = 200
@@ -76,8 +78,10 @@ def build_map(spark: SparkSession, root: str, settings: Settings | None = None)
         tree = "\n".join(listing.lines)
         first = spark.createDataFrame([(s.model("Name the files to read, as JSON {\"requested_files\": [...]}.\n" + tree),)], "text string")
         wanted = requested_files(first, files, s.max_prompt_files)
-        text, _, _ = render.prompt(tree, shown.join(F.broadcast(wanted), "path").select("path", "content", "est_tokens", "seq"), tables["ast_edges"], s.max_context, bool(partial))
+        text, _, kept = render.prompt(tree, shown.join(F.broadcast(wanted), "path").select("path", "content", "est_tokens", "seq"), tables["ast_edges"], s.max_context, bool(partial))
         tables |= answer_tables(spark.createDataFrame([(s.model(text),)], "text string"))
+        # What the model has seen: these files (at most ``max_prompt_files``), as they were shown.
+        seen = shown.where(F.col("path").isin(kept)).select("path", "content") if kept else shown.where("false").select("path", "content")
     base = tables["ast_edges"] if tables["ast_edges"] is not None else tables.get("llm_edges")
     if base is not None:
         norm = _normal(base)
@@ -90,24 +94,31 @@ def build_map(spark: SparkSession, root: str, settings: Settings | None = None)
         known = list(paths.LANGUAGES)
         meta["faithfulness"] = quality.faithfulness(a, b, F.col("kind").isin(*quality.COMPARABLE) & paths.extension(F.col("src")).isin(*known) & paths.extension(F.col("dst")).isin(*known)).first().asDict()
     if s.scorer and tables.get("llm_edges") is not None:
-        _scored(s, files, tables, meta)
+        _scored(s.scorer, seen, tables, meta)
     return store.CodeMapTables(tables, meta)
 
 
-def _scored(s: Settings, files: DataFrame, tables: dict[str, DataFrame | None], meta: dict) -> None:
-    """Scores of summaries and roles of modules and files, where there are a scorer and a model's tables."""
+def _scored(scorer: Callable[[DataFrame], DataFrame], seen: DataFrame, tables: dict[str, DataFrame | None], meta: dict) -> None:
+    """Scores of summaries and roles of modules and files, where there are a scorer and a model's tables.
+
+    A summary is judged by the file's text as the model saw it (``seen``); one of a file that it did not see has no score.
+    """
     merged = edges.merge_edges(_normal(tables["ast_edges"]), _normal(tables["llm_edges"])) if tables["ast_edges"] is not None else _normal(tables["llm_edges"])
     degrees = edges.file_degree(merged)
-    rows = quality.evidence_rows(tables["file_summaries"], render.redacted(files, s.max_file_chars))
-    judged = cut(s.scorer(rows.where("content is not null")).select("path", F.col("score").cast("double").alias("score")))
-    tables["evidence"] = rows.select("path").join(judged, "path", "left")
-    meta["evidence"] = quality.evidence(tables["evidence"]).first().asDict()
-    role = lambda t: cut(s.scorer(t).select("path", F.least(F.greatest(F.col("score").cast("double"), F.lit(0.0)), F.lit(quality.ROLES)).alias("role")))
+    rows = quality.evidence_rows(tables["file_summaries"], seen)
+    judged = scoring.or_none(scorer, rows.where("content is not null"), cut)
+    if judged is not None:
+        tables["evidence"] = rows.select("path").join(judged, "path", "left")
+        meta["evidence"] = quality.evidence(tables["evidence"]).first().asDict()
+    role = lambda t: scoring.or_none(scorer, t, cut)
+    bounded = lambda t: t.select("path", F.least(F.greatest("score", F.lit(0.0)), F.lit(quality.ROLES)).alias("role"))
     modules = tables["modules"].drop("role", "degree")
     of_modules = role(modules.select("path", F.concat_ws(" ", "path", "name", "description").alias("text")))
-    tables["modules"] = modules.join(of_modules, "path", "left").join(edges.prefix_degrees(modules.select("path").distinct(), degrees), "path", "left").select("path", "name", "description", "role", "degree")
+    if of_modules is not None:
+        tables["modules"] = modules.join(bounded(of_modules), "path", "left").join(edges.prefix_degrees(modules.select("path").distinct(), degrees), "path", "left").select("path", "name", "description", "role", "degree")
     of_files = role(tables["file_summaries"].select("path", F.col("summary").alias("text")))
-    tables["file_importance"] = quality.fused_importance(of_files.join(degrees, "path", "left").select("path", "role", F.coalesce("degree", F.lit(0)).alias("degree")))
+    if of_files is not None:
+        tables["file_importance"] = quality.fused_importance(bounded(of_files).join(degrees, "path", "left").select("path", "role", F.coalesce("degree", F.lit(0)).alias("degree")))
 
 
 def write_and_diff(spark: SparkSession, m: store.CodeMapTables, folder: str) -> tuple[DataFrame | None, dict[str, bool], str]:

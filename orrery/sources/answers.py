@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orrery.functions.paths import norm_path
 from orrery.functions.text import json_object
 
 #: Tables of an answer: field, element type.
@@ -34,11 +35,16 @@ def streamed_text(events: DataFrame) -> DataFrame:
 
 
 def answer_tables(answers: DataFrame) -> dict[str, DataFrame]:
-    """Tables of answers ``(text)``: fences and prose around the JSON are dropped, rows without a key are left out."""
+    """Tables of answers ``(text)``: fences and prose around the JSON are dropped, rows without a key are left out; modules and
+    summaries have one row for each path, the last one said."""
     parsed = answers.select(F.from_json(json_object(F.col("text")), ANSWER).alias("a"))
     out = {}
     for name in ("modules", "data_flow", "entry_points", "file_summaries", "quick_reference", "db_tables", "tests", "notes"):
         out[name] = parsed.select(F.inline(f"a.{name}"))
+    for name in ("modules", "file_summaries"):
+        # A path that comes again, however it is written, replaces what was said before.
+        each = parsed.select(F.posexplode(f"a.{name}").alias("pos", "x")).withColumn("path", norm_path(F.col("x.path"))).where("path is not null")
+        out[name] = each.groupBy("path").agg(F.max_by("x", "pos").alias("x")).select("path", *(f"x.{c}" for c in out[name].columns if c != "path"))
     out["modules"] = out["modules"].select("path", "name", "description", F.lit(None).cast("double").alias("role"), F.lit(None).cast("long").alias("degree")).where("path is not null")
     out["llm_edges"] = parsed.select(F.inline("a.import_edges")).select(F.col("from_path").alias("src"), F.col("to_path").alias("dst"), "kind").where("src is not null and dst is not null")
     return out

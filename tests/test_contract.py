@@ -1,9 +1,11 @@
+import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from orrery.functions.text import REDACTIONS, redact
+from orrery.operators import budget
 from orrery.plans.contract import _SECRETS, QUERIES, SQL
 from tests.oracle import same
 
@@ -39,3 +41,18 @@ def test_every_secret_goes(spark):
                 want = re.sub(pattern, re.sub(r"\$(\d)", r"\\\1", instead), want)
         assert r["r"] == want
         assert not any(s in (r["r"] or "") for s in ("hunter2", "AKIA", "longpw", "ghp_a", "MIIabc"))
+
+
+def test_greedy_budget_with_odd_rows(spark):
+    """Falling costs that each block once, null costs and groups, one group over several ranges, against a fold."""
+    rng = random.Random(3)
+    rows = [("falling", i, 1 if i % 2 else 101 - i // 2) for i in range(60)] + [("random", i, rng.randrange(40)) for i in range(400)] + [(None, i, rng.choice([None, 0, 30, 200])) for i in range(20)] + [("dear", 1, 101), ("free", 1, 0)]
+    df = spark.createDataFrame(rows, "g string, k int, c int")
+    got = {(r["g"], r["k"]): (r["c"], r["admitted"], r["running"]) for r in budget.greedy_within(df, "g", "k", "c", 100).collect()}
+    totals = {}
+    for g, k, c in sorted(rows, key=lambda r: (str(r[0]), r[1])):
+        fits = totals.get(g, 0) + (c or 0) <= 100
+        totals[g] = totals.get(g, 0) + ((c or 0) if fits else 0)
+        assert got[(g, k)] == (c, fits, totals[g])
+    assert len(got) == len(rows)
+    assert budget.greedy_within(df.where("false"), "g", "k", "c", 100).count() == 0

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from orrery import api
 from orrery.functions import paths, text
-from orrery.operators import budget, diff, edges, graph, quality, render, resolve
+from orrery.operators import budget, diff, edges, graph, quality, render, resolve, scoring
 from orrery.sources import answers, store
 from orrery.sources.skeleton import definitions, outline
 from orrery.streaming.refresh import refresh_edges, windowed_activity
@@ -198,6 +198,8 @@ def test_scores_roles_and_answers_to_unknown_paths(spark, tmp_path):
     answer = {"modules": [{"path": "app", "name": "app", "description": "core"}], "import_edges": [{"from_path": "app/main.py", "to_path": "app/routes.py", "kind": "from"}], "db_tables": [{"name": "users", "columns": [{"name": "id", "type": "int", "constraints": "pk"}]}]}
     answer["file_summaries"] = [{"path": "app/main.py", "summary": "starts the server"}, {"path": "app/routes.py", "summary": "routes"}, {"path": "gone.py", "summary": "nothing"}]
 
+    answer["requested_files"] = ["app/main.py", "app/routes.py"]
+
     def scorer(df):
         return df.withColumn("score", F.lit(0.25)) if "content" in df.columns else df.withColumn("score", F.when(F.contains("path", F.lit("main")), 9.0).otherwise(1.5))
 
@@ -253,3 +255,47 @@ def test_streams(spark, tmp_path):
     assert state["seen"] == [("added", "a.py -> c.py -> import")]
     ev = spark.read.parquet("/root/testdata/sf0.001/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     assert windowed_activity(ev).agg(F.sum("n")).first()[0] == ev.count()
+
+
+def test_a_scorer_that_fails_loses_its_own_batch(spark):
+    rows = [(f"p{i:02}", f"text {i}") for i in range(40)]
+    df = spark.createDataFrame(rows, "path string, text string").coalesce(1)
+
+    def score(batch):
+        assert len(batch) <= 15
+        if any(r["path"] == "p20" for r in batch):
+            raise RuntimeError("no answer")
+        return [float("nan") if r["path"] == "p00" else len(r["text"]) for r in batch]
+
+    got = {r["path"]: r["score"] for r in scoring.batched(score)(df).collect()}
+    assert {p for p, s in got.items() if s is None} == {"p00", *(f"p{i}" for i in range(15, 30))}
+    assert got["p05"] == 6.0 and got["p39"] == 7.0
+    short = {r["score"] for r in scoring.batched(lambda b: [1.0])(df).collect()}
+    assert short == {None} and scoring.batched(score)(df.where("false")).count() == 0
+
+
+def test_scores_of_what_the_model_saw(spark, tmp_path):
+    """A summary of a file that the prompt had no room for is skipped; a path said twice counts once; a failing scorer ends nothing."""
+    body = "def handler(request):\n    return answer(request)  # of every kind that there is\n" * 3
+    root = make(tmp_path / "t", {"a.py": body, "b.py": body + "# more " * 400, "c.py": "x = 1\n"})
+    answer = {"modules": [{"path": "./a.py", "name": "first", "description": "d"}, {"path": "a.py", "name": "last", "description": "d"}], "import_edges": [], "file_summaries": [{"path": p, "summary": s} for p, s in (("a.py", "old"), ("b.py", "b"), ("c.py", "c"), ("./a.py", "new"))]}
+    asked = []
+
+    def model(prompt):
+        asked.append(prompt)
+        return json.dumps({"requested_files": ["a.py"]} if "requested_files" in prompt else answer)
+
+    scorer = lambda df: df.withColumn("score", F.lit(0.75))
+    m = api.build_map(spark, root, api.Settings(model=model, scorer=scorer))
+    assert "### a.py" in asked[1] and "### b.py" not in asked[1]
+    assert m.meta["evidence"] == {"mean": 0.75, "scored": 1, "skipped": 2, "n_low": 0}
+    assert [tuple(r) for r in m["file_summaries"].orderBy("path").select("path", "summary").collect()] == [("a.py", "new"), ("b.py", "b"), ("c.py", "c")]
+    assert [(r["path"], r["name"], r["role"]) for r in m["modules"].collect()] == [("a.py", "last", 0.75)]
+
+    def broken(df):
+        raise RuntimeError("no network")
+
+    late = lambda df: df.withColumn("score", F.raise_error(F.lit("no network")).cast("double"))
+    for bad in (broken, late):
+        m = api.build_map(spark, root, api.Settings(model=model, scorer=bad))
+        assert "evidence" not in m.meta and m["file_summaries"].count() == 3 and [r["role"] for r in m["modules"].collect()] == [None]
