@@ -176,11 +176,12 @@ class Bpe:
 class WordEncoder:
     """Texts to ids with a vocabulary of lower-cased words (NFC; white space dropped); remembers chunks between white space."""
 
-    def __init__(self, bpe: Bpe):
+    def __init__(self, bpe: Bpe, special_tokens: bool = True):
         self.bpe = bpe
+        self.names = sorted(bpe.special, key=len, reverse=True) if special_tokens else []
         self.pieces = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_WS}\p{{L}}\p{{N}}]+")
         self.split = regex.compile(rf"[{_WS}]+").split
-        self.special = regex.compile("(" + "|".join(map(regex.escape, bpe.special)) + ")") if bpe.special else None
+        self.special = regex.compile("(" + "|".join(map(regex.escape, self.names)) + ")") if self.names else None
         self.known: dict[str, tuple[bytes, str]] = {}
 
     def _lower(self, chunk: str) -> str:
@@ -196,17 +197,17 @@ class WordEncoder:
         return [c for c in self.split(text) if c]
 
     def chunks(self, text: str) -> list[str]:
-        if self.special and "<|" in text:
-            return [c for part in self.special.split(text) for c in ([part] if part in self.bpe.special else self._chunks(part))]
+        if self.special and any(x in text for x in self.names):
+            return [c for part in self.special.split(text) for c in ([part] if part in self.names else self._chunks(part))]
         return self._chunks(text)
 
     def learn(self, chunks: set[str]) -> None:
         new = [c for c in chunks if c not in self.known]
-        parts = [[] if c in self.bpe.special else [p.encode("utf-8", "surrogatepass") for p in self.pieces.findall(self._lower(c))] for c in new]
+        parts = [[] if c in self.names else [p.encode("utf-8", "surrogatepass") for p in self.pieces.findall(self._lower(c))] for c in new]
         words = list({p for ps in parts for p in ps})
         ids = dict(zip(words, self.bpe.encode_words(words), strict=True))
         for c, ps in zip(new, parts, strict=True):
-            own = [self.bpe.special[c]] if c in self.bpe.special else [i for p in ps for i in ids[p]]
+            own = [self.bpe.special[c]] if c in self.names else [i for p in ps for i in ids[p]]
             self.known[c] = np.array(own, "<u4").tobytes(), self.bpe.decode(own)
 
     def encode(self, texts: list[str | None]) -> tuple[list[bytes], list[str]]:
@@ -219,17 +220,18 @@ class WordEncoder:
         return [b"".join([f[0] for f in fs]) for fs in found], [" ".join([f[1] for f in fs if f[0]]) for fs in found]
 
 
-def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", special_tokens: bool = True) -> DataFrame:
     """Whole texts encoded and decoded with the vocabulary file at ``path`` (word-level BPE in the tokenizers format).
 
     Returns one row per input row: ``id, ids`` (binary: the ids as little-endian unsigned 32-bit integers), ``n_tokens``,
     ``decoded``. A null or empty text has no tokens and decodes to the empty string. Ids of documents may be null or repeat;
-    other columns are ignored. No shuffle: each task encodes its own rows and remembers a bounded number of chunks.
+    other columns are ignored. A special token that a text spells out is one token; with ``special_tokens`` off its letters
+    are ordinary text. No shuffle: each task encodes its own rows and remembers a bounded number of chunks.
     """
     model = docs.sparkSession.sparkContext.broadcast(Bpe.load(path))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = WordEncoder(model.value)
+        encoder = WordEncoder(model.value, special_tokens)
         for batch in batches:
             for at in range(0, len(batch), SLICE):
                 rows = batch.iloc[at : at + SLICE]

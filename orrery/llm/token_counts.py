@@ -21,24 +21,46 @@ EDITS = "array<struct<start:int,end:int,text:string>>"
 
 
 class PreTokenCounter:
-    """Pre-tokens of a byte-level vocabulary and their numbers of tokens."""
+    """Pre-tokens of a byte-level vocabulary and their numbers of tokens.
 
-    def __init__(self, bpe: Bpe):
+    With ``special_tokens``, a special token that a text spells out is one pre-token of one token, and what is between two
+    of them is divided by itself, as the library does unless told otherwise; without, their letters are ordinary text.
+    """
+
+    def __init__(self, bpe: Bpe, special_tokens: bool = True):
         self.bpe = bpe
+        self.special = dict(bpe.special) if special_tokens else {}
+        # The longest first: one may begin another.
+        names = sorted(self.special, key=len, reverse=True)
+        self.special_at = regex.compile("|".join(map(regex.escape, names))) if names else None
+        # A new special token may begin so far before an edit, and what is before it then ends there.
+        self.reach = REACH + max(map(len, names), default=0)
         self.pattern = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
         self.known: dict[str, int] = {}
 
     def counts(self, pre: list[str]) -> np.ndarray:
         if len(self.known) > MEMORY:
             self.known.clear()
-        if new := [p for p in set(pre) if p not in self.known]:
+        if new := [p for p in set(pre) if p not in self.known and p not in self.special]:
             ids = self.bpe.encode_words([p.encode("utf-8", "surrogatepass") for p in new])
             self.known.update(zip(new, map(len, ids), strict=True))
+        self.known.update(dict.fromkeys(self.special, 1))
         return np.fromiter(map(self.known.__getitem__, pre), np.int64, len(pre))
 
+    def pieces(self, text: str, begin: int = 0) -> Iterator[tuple[str, int]]:
+        """Pre-tokens from a border on, each with where it ends."""
+        for m in self.special_at.finditer(text, begin) if self.special else ():
+            for p in self.pattern.finditer(text, begin, m.start()):
+                yield p.group(), p.end()
+            yield m.group(), m.end()
+            begin = m.end()
+        for p in self.pattern.finditer(text, begin):
+            yield p.group(), p.end()
+
     def measured(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Lengths and token counts of a text's pre-tokens."""
-        pre = self.pattern.findall(text)
+        spelled = self.special and any(x in text for x in self.special)
+        pre = [p for p, _ in self.pieces(text)] if spelled else self.pattern.findall(text)
         return np.fromiter(map(len, pre), np.int64, len(pre)), self.counts(pre)
 
 
@@ -97,17 +119,17 @@ class CountTree:
         """Replace the characters from ``start`` to ``end`` (clipped to the text) by ``new``."""
         start = max(0, min(start, len(self.text)))
         end = max(start, min(end, len(self.text)))
-        # Pre-tokens that end more than REACH before the edit stay: what they depend on is as before.
-        first, at = self._leaf_at(max(0, start - REACH - 1))
+        # Pre-tokens that end more than the counter's reach before the edit stay: what they depend on is as before.
+        first, at = self._leaf_at(max(0, start - self.counter.reach - 1))
         borders = np.cumsum(self.leaves[first][0]) + at
-        skip = int(np.searchsorted(borders, start - REACH))
+        skip = int(np.searchsorted(borders, start - self.counter.reach))
         begin = int(borders[skip - 1]) if skip else at
         # Old borders at or behind the edit, leaf by leaf; new pre-tokens are made until one ends at such a border.
         shift = len(new) - (end - start)
         text = self.text[:start] + new + self.text[end:]
         last, border, k = first, begin, skip
         place, pre = begin, []
-        for m in self.counter.pattern.finditer(text, begin):
+        for piece, until in self.counter.pieces(text, begin):
             while border < end or border + shift < place:
                 if k >= len(self.leaves[last][0]):
                     if last + 1 == len(self.leaves):
@@ -118,8 +140,8 @@ class CountTree:
                 k += 1
             if border >= end and border + shift == place and place >= start + len(new):
                 break
-            pre.append(m.group())
-            place = m.end()
+            pre.append(piece)
+            place = until
         if place == len(text):
             last, k = len(self.leaves) - 1, len(self.leaves[-1][0])
         self.encoded += len(pre)
@@ -142,11 +164,11 @@ class CountTree:
             self._build(lens, toks, np.cumsum(sizes) - sizes if len(lens) else sizes[:0])
 
 
-def _by_slices(f, columns: list[str], model):
+def _by_slices(f, columns: list[str], model, special_tokens: bool):
     """A mapInPandas function that makes rows of ``columns`` from rows, with a counter that remembers pre-tokens."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counter = PreTokenCounter(model.value)
+        counter = PreTokenCounter(model.value, special_tokens)
         for batch in batches:
             for at in range(0, len(batch), SLICE):
                 rows = batch.iloc[at : at + SLICE]
@@ -155,13 +177,14 @@ def _by_slices(f, columns: list[str], model):
     return run
 
 
-def counted_trees(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", edits_col: str | None = None) -> DataFrame:
+def counted_trees(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", edits_col: str | None = None, special_tokens: bool = True) -> DataFrame:
     """Whole texts counted, with what ``edited_trees`` needs to count them again after edits without encoding them again.
 
     Returns one row per input row: ``id, text, tree`` (binary: lengths and token counts of the pre-tokens), ``n_pre_tokens,
     n_tokens`` (null: an empty text), and ``edits`` if a column of edits is given. The table can be written and kept. Ids may
     be null or repeat; no rows give no rows; other columns are ignored, whatever their names. No shuffle; each task keeps
-    one document's tree at a time.
+    one document's tree at a time. A special token that a text spells out is one token, as in ``bpe.encode_documents``; with
+    ``special_tokens`` off its letters are ordinary text.
     """
     model = docs.sparkSession.sparkContext.broadcast(Bpe.load(path))
 
@@ -172,18 +195,19 @@ def counted_trees(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     edits = [F.col(edits_col).cast(EDITS).alias("edits")] if edits_col else []
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), *edits)
     columns = ["id", "text", "tree", "n_pre_tokens", "n_tokens", *(["edits"] if edits_col else [])]
-    out = rows.mapInPandas(_by_slices(count, columns, model), "id string, text string, tree binary, n_pre_tokens long, n_tokens long" + (f", edits {EDITS}" if edits_col else ""))
+    out = rows.mapInPandas(_by_slices(count, columns, model, special_tokens), "id string, text string, tree binary, n_pre_tokens long, n_tokens long" + (f", edits {EDITS}" if edits_col else ""))
     return out.withColumn("id", F.col("id").cast(docs.schema[id_col].dataType))
 
 
-def edited_trees(trees: DataFrame, path: str, edits_col: str = "edits") -> DataFrame:
+def edited_trees(trees: DataFrame, path: str, edits_col: str = "edits", special_tokens: bool = True) -> DataFrame:
     """Counts after edits of the table of ``counted_trees``: only what the edits touch is encoded.
 
     ``edits_col`` holds for each row an array of (start, end, text): characters to replace, applied in order, each on the
     text that the ones before it left; places outside of the text are clipped, null members count as 0 or the empty string.
 
     Returns one row per input row: ``id, text`` (as edited), ``tree, n_pre_tokens, n_tokens`` (of the edited text, so that
-    further edits can follow), ``n_pre_tokens_before, n_tokens_before``, and ``n_reencoded`` (pre-tokens encoded for the
+    further edits can follow; ``special_tokens`` has to be as it was when the trees were made, and an edit may make or break
+    such a token), ``n_pre_tokens_before, n_tokens_before``, and ``n_reencoded`` (pre-tokens encoded for the
     edits). A null or empty array changes nothing, but that a null text becomes an empty one. No rows give no rows; other
     columns are ignored, whatever their names. No shuffle.
     """
@@ -198,5 +222,5 @@ def edited_trees(trees: DataFrame, path: str, edits_col: str = "edits") -> DataF
 
     rows = trees.select(F.col("id").cast("string").alias("id"), "text", "tree", "n_pre_tokens", "n_tokens", F.col(edits_col).cast(EDITS).alias("edits"))
     columns = ["id", "text", "tree", "n_pre_tokens", "n_tokens", "n_pre_tokens_before", "n_tokens_before", "n_reencoded"]
-    out = rows.mapInPandas(_by_slices(edit, columns, model), "id string, text string, tree binary, n_pre_tokens long, n_tokens long, n_pre_tokens_before long, n_tokens_before long, n_reencoded long")
+    out = rows.mapInPandas(_by_slices(edit, columns, model, special_tokens), "id string, text string, tree binary, n_pre_tokens long, n_tokens long, n_pre_tokens_before long, n_tokens_before long, n_reencoded long")
     return out.withColumn("id", F.col("id").cast(trees.schema["id"].dataType))

@@ -61,14 +61,16 @@ def test_query_and_odd_rows(spark, sf_dir, word_lib):
     assert encode_documents(odd.where("false"), WORD).count() == 0
 
 
-def test_edits_keep_the_count_right():
-    lib, counter, rng = Tokenizer.from_file(BYTE), PreTokenCounter(Bpe.load(BYTE)), random.Random(2)
-    lib.encode_special_tokens = True
-    alphabet = ["'", "r", "e", "l", "ve", " ", "  ", "\n", "\t\n ", "12", "é", "日", "!", "word", "'re", "s"]
+@pytest.mark.parametrize("special", [True, False])
+def test_edits_keep_the_count_right(special):
+    """Also edits that make and break special tokens, wherever they are cut."""
+    lib, counter, rng = Tokenizer.from_file(BYTE), PreTokenCounter(Bpe.load(BYTE), special), random.Random(2)
+    lib.encode_special_tokens = not special
+    alphabet = ["'", "r", "e", "l", "ve", " ", "  ", "\n", "\t\n ", "12", "é", "日", "!", "word", "'re", "s", "<|endoftext|>", "<|endof", "text|>", "<", "|", ">"]
     for n in (0, 1, 5, 60, 900):
         tree = CountTree(counter, "".join(rng.choice(alphabet) for _ in range(n)))
         assert tree.tokens == len(lib.encode(tree.text, add_special_tokens=False).ids)
-        for _ in range(60):
+        for _ in range(150):
             s = rng.randint(0, len(tree.text))
             e = s + rng.choice([0, 0, 1, 2, 5, 300])
             new = "".join(rng.choice(alphabet) for _ in range(rng.choice([0, 1, 1, 2, 9, 200])))
@@ -77,12 +79,32 @@ def test_edits_keep_the_count_right():
             assert sum(int(x[0].sum()) for x in tree.leaves) == len(tree.text)
     tree = CountTree(counter, "some words " * 5000)
     tree.edit(20_000, 20_001, "xyz")
-    assert tree.encoded < 8
+    assert tree.encoded < 12
+    tree = CountTree(counter, "a !!!!<|endoftext|>b")
+    for at in range(5, 19):
+        whole = tree.text
+        tree.edit(at, at + 1, "")
+        assert tree.tokens == len(lib.encode(tree.text, add_special_tokens=False).ids)
+        tree.edit(at, at, whole[at])
+        assert tree.text == whole and tree.tokens == len(lib.encode(whole, add_special_tokens=False).ids)
+
+
+@pytest.mark.parametrize("special", [True, False])
+def test_both_operators_take_special_tokens_alike(spark, special):
+    rng = random.Random(5)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|", "|>", "endoftext", " ", "Word", "'s", "\n", "é"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(12))) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    for path, run in ((WORD, encode_documents), (BYTE, counted_trees)):
+        lib = Tokenizer.from_file(path)
+        lib.no_truncation()
+        lib.encode_special_tokens = not special
+        got = {r["id"]: r["n_tokens"] for r in run(df, path, special_tokens=special).collect()}
+        assert got == {i: len(lib.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
 
 
 def test_edit_query(spark, sf_dir):
     lib = Tokenizer.from_file(BYTE)
-    lib.encode_special_tokens = True
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     got = op8_token_counts(spark, sf_dir).collect()
     assert len(got) == len(docs)
@@ -98,7 +120,6 @@ def test_edit_query(spark, sf_dir):
 
 def test_kept_trees_take_edits_without_a_second_encoding(spark, tmp_path):
     lib = Tokenizer.from_file(BYTE)
-    lib.encode_special_tokens = True
     rng = random.Random(7)
     texts = [" ".join(rng.choice(["word", "it's", "12", "Über", "\n\n", "x" * 300]) for _ in range(n)) for n in (0, 1, 40, 3000)]
     docs = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(texts)], "doc_id long, text string, tree string, id int")
