@@ -145,8 +145,9 @@ def near_duplicates_removed(docs: DataFrame, id_col: str = "doc_id", text_col: s
     distinct = rows.groupBy("key").agg(F.first("id").alias("id"), F.first("fp").alias("fp"), F.count("*").alias("n")).join(comps, "fp", "left").withColumn("group", F.coalesce("component", "fp"))
     distinct = cut(distinct.select("key", "id", "n", "group"))
     stays = distinct.groupBy("group").agg(F.min_by("key", F.struct(F.col("id").isNull(), "id", "key")).alias("stays"))
-    marked = distinct.join(stays, "group").select(F.col("key").alias(key), (F.col("key") != F.col("stays")).alias("gone"), "n").where("gone or n > 1")
-    marked = cut(marked)
+    # Joined by the row and not by the group, which may hold a third of all rows.
+    told = distinct.join(stays.select(F.col("stays").alias("key"), F.lit(True).alias("stay")), "key", "left")
+    marked = cut(told.select(F.col("key").alias(key), F.col("stay").isNull().alias("gone"), "n").where("gone or n > 1"))
     alone = keyed.join(marked.select(key), key, "left_anti")
     twice = keyed.join(marked.where("not gone").select(key), key, "left_semi").dropDuplicates([key])
     return alone.unionByName(twice).select(*(F.col(f"`{c}`") for c in docs.columns))
