@@ -167,9 +167,7 @@ class CodeMap:
 
     def _hits(self, path: str, most: int = 20) -> list[str]:
         if all(self.t.has(n) for n in resolve.PATH_TABLES):
-            asked = self.edges.sparkSession.createDataFrame([(0, path)], "qid int, query string")
-            r = resolve.resolve_paths({n: self.t[n] for n in resolve.PATH_TABLES}, asked, most).first()
-            return [r["path"]] if r["path"] is not None else r["candidates"]
+            return resolve.resolve_string({n: self.t[n] for n in resolve.PATH_TABLES}, path, most)
         return [r["path"] for r in resolve.resolve_path(self.known, path, most).collect()]
 
     def resolve(self, path: str) -> str | None:

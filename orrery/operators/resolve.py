@@ -82,7 +82,28 @@ def path_index(known: DataFrame, most: int = 20, keep: Callable[[DataFrame, str]
     endings = endings.join(whole, "ending", "left").select("ending", F.coalesce("whole", F.lit(False)).alias("whole"), "n", "paths")
     low = F.lower("path")
     grams = paths.select(F.explode(F.concat(F.array(F.lit("")), *(grams_of(low, n) for n in range(1, GRAM + 1)))).alias("gram"), "path")
-    return {"path_endings": keep(endings, "path_endings"), "path_grams": keep(grams, "path_grams")}
+    # In order, so that a look at one key reads few row groups.
+    in_order = lambda t, c: t.repartitionByRange(c).sortWithinPartitions(c)
+    return {"path_endings": keep(in_order(endings, "ending"), "path_endings"), "path_grams": keep(in_order(grams, "gram"), "path_grams")}
+
+
+def resolve_string(index: dict[str, DataFrame], query: str, most: int = 20) -> list[str]:
+    """The known paths that one string means, as :func:`resolve_path` gives them: looked up by key, with filters that reach
+    the scan, and without a join."""
+    q = re.sub(r"^(\./)+", "", query.replace("\\", "/"))
+    parts = q.split("/")
+    tails = ["/".join(parts[i:]) for i in range(1, len(parts))]
+    rows = {r["ending"]: r for r in index["path_endings"].where(F.col("ending").isin(q, *tails)).collect()}  # one row a key
+    if q in rows:
+        return [q] if rows[q]["whole"] else rows[q]["paths"][:most]
+    for tail in tails:  # the longest first
+        if tail in rows and rows[tail]["whole"]:
+            return [tail]
+    if "." in parts[-1]:
+        return []
+    low = q.lower()
+    grams = index["path_grams"].where(F.col("gram") == low[:GRAM]).where(F.contains(F.lower("path"), F.lit(low)))
+    return [r["path"] for r in grams.orderBy("path").limit(most).collect()]
 
 
 def resolve_paths(index: dict[str, DataFrame], queries: DataFrame, most: int = 20) -> DataFrame:

@@ -73,8 +73,13 @@ def import_edges(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     A statement's name that is no module falls back to its package, once.
     """
-    known = files.select("path", paths.directory(F.col("path")).alias("dir"))
-    targets = import_targets(files).withColumn("id", F.struct("src", "pos", "tgt"))
+    return resolved_edges(import_targets(files), files.select("path"))
+
+
+def resolved_edges(targets: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges and partial languages (see :func:`import_edges`) of parsed ``targets`` among the paths ``known(path)``."""
+    known = known.select("path", paths.directory(F.col("path")).alias("dir"))
+    targets = targets.withColumn("id", F.struct("src", "pos", "tgt"))
     roots = source_roots(known)
     hits = resolve_candidates(targets.select("id", "lang", "cands"), known, F.broadcast(roots))
     uses = targets.where("lang = 'rust' and kind = 'import'").select("id", "src", "spec")

@@ -10,7 +10,7 @@ from orrery.functions import paths, text
 from orrery.operators import budget, diff, edges, graph, quality, render, resolve, scoring
 from orrery.sources import answers, store
 from orrery.sources.skeleton import definitions, outline
-from orrery.streaming.refresh import refresh_edges, windowed_activity
+from orrery.streaming.refresh import edges_in, refresh_edges, windowed_activity
 from tests.test_sources import make
 
 
@@ -240,19 +240,17 @@ def test_prompt_fits_for_every_budget(spark):
 
 def test_streams(spark, tmp_path):
     src = str(tmp_path / "in")
-    spark.createDataFrame([("a.py", "python", "import b\n", 1), ("a.py", "python", "import c\n", 2), ("c.py", "python", "", 1)], "path string, lang string, raw string, seq int").write.parquet(src)
-    state = {"n": 0, "seen": []}
-
-    def load():
-        return spark.read.parquet(f"{tmp_path}/f{state['n']}") if state["n"] else spark.createDataFrame([("b.py", "python", "")], "path string, lang string, raw string")
-
-    def save(df):
-        state["n"] += 1
-        df.write.parquet(f"{tmp_path}/f{state['n']}")
-
-    stream = spark.readStream.schema("path string, lang string, raw string, seq int").parquet(src)
-    refresh_edges(stream, load, save, lambda d, n: state["seen"].extend(rows(d)), str(tmp_path / "ck")).awaitTermination(120)
-    assert state["seen"] == [("added", "a.py -> c.py -> import")]
+    first = spark.createDataFrame([("b.py", "python", "import a\n", 0)], "path string, lang string, raw string, seq int")
+    first.write.parquet(src)
+    told = []
+    stream = lambda: refresh_edges(spark.readStream.schema(first.schema).option("maxFilesPerTrigger", "1").parquet(src), f"{tmp_path}/state", lambda d, n: told.append((n, rows(d))), str(tmp_path / "ck")).awaitTermination(120)
+    stream()
+    spark.createDataFrame([("a.py", "python", "import b\n", 1), ("a.py", "python", "import c\n", 2), ("c.py", "python", "", 1)], first.schema).coalesce(1).write.mode("append").parquet(src)
+    stream()
+    stream()
+    assert [d for _, d in told if d] == [[("added", "a.py -> c.py -> import"), ("added", "b.py -> a.py -> import")]]
+    assert [n for n, _ in told] == list(range(len(told)))
+    assert rows(edges_in(spark, f"{tmp_path}/state").select("src", "dst")) == [("a.py", "c.py"), ("b.py", "a.py")]
     ev = spark.read.parquet("/root/testdata/sf0.001/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     assert windowed_activity(ev).agg(F.sum("n")).first()[0] == ev.count()
 

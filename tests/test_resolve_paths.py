@@ -30,6 +30,11 @@ def check(spark, known, queries, most=20):
     for i, query in enumerate(queries):
         assert got[i] == (plain([p for p in known if p is not None], query, most) if query is not None else (None, None, [])), query
     assert len(got) == len(queries)
+    index = {n: t.cache() for n, t in resolve.path_index(k, most).items()}
+    for i, query in enumerate(queries[:12]):
+        if query is not None:
+            tier, path, names = got[i]
+            assert resolve.resolve_string(index, query, most) == ([path] if path is not None else names), query
     return {t for t, _, _ in got.values()}
 
 
