@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.functions.lineage import dropped, written
-from orrery.llm.bpe import _byte_of_char
+from orrery.llm.text_encoder import TextEncoder, vocabulary
 
 #: Pieces that are packed together.
 BLOCK = 16384
@@ -24,24 +22,6 @@ OPEN = 0.004
 SLICE = 256
 
 
-def text_encoder(path: str) -> tuple[tiktoken.Encoding, np.ndarray]:
-    """The byte-level vocabulary file at ``path`` (tokenizers format) as an encoding, and the ids of its numbers.
-
-    Single bytes come first, then the merges in order, so that numbers are preferences; special tokens follow. The pattern
-    is a fixed value of byte-level vocabularies.
-    """
-    with open(path, encoding="utf-8") as f:
-        d = json.load(f)
-    vocab, byte_of = d["model"]["vocab"], _byte_of_char()
-    merges = [m.split(" ") if isinstance(m, str) else m for m in d["model"]["merges"]]
-    order = sorted((s for s in vocab if len(s) == 1), key=vocab.__getitem__) + [a + b for a, b in merges]
-    special = {t["content"]: t["id"] for t in d.get("added_tokens", [])}
-    numbers = {s: len(order) + i for i, s in enumerate(special)}
-    ids = np.array([vocab[s] for s in order] + [special[s] for s in numbers], "<u4")
-    pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-    return tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks={bytes(byte_of[c] for c in s): i for i, s in enumerate(order)}, special_tokens=numbers), ids
-
-
 def token_pieces(docs: DataFrame, path: str, capacity: int = 1024, end: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Whole texts as pieces of at most ``capacity`` token ids, each text's ids followed by the id ``end``.
 
@@ -49,17 +29,18 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 1024, end: int = 2,
     tokens that a text spells out are taken as such. Returns one row per piece: ``id, piece`` (from 0), ``start`` (ids
     before it), ``length, ids`` (binary, little-endian unsigned 32-bit). A null or empty text is one piece of the id
     ``end``. Ids of documents may be null or repeat; no rows give no rows; other columns are ignored, whatever their names.
-    No shuffle; the vocabulary file has to be where the tasks run.
+    No shuffle.
     """
+    model = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoding, ids_of = text_encoder(path)
+        encoder = TextEncoder(model.value)
         last = np.array([end], "<u4")
         for batch in batches:
             for at in range(0, len(batch), SLICE):
                 out = []
                 for key, text in zip(batch["id"].iloc[at : at + SLICE], batch["text"].iloc[at : at + SLICE], strict=True):
-                    ids = np.concatenate([ids_of[encoding.encode_to_numpy(text, allowed_special="all")], last]) if text else last
+                    ids = np.concatenate([encoder.encode(text), last]) if text else last
                     over = len(ids) % capacity if len(ids) > capacity else 0
                     cuts = [0, *range(over or min(capacity, len(ids)), len(ids), capacity), len(ids)]
                     out += [(key, k, a, b - a, ids[a:b].tobytes()) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.llm.bpe import _WS, MEMORY, SLICE, Bpe
+from orrery.llm.text_encoder import LONG, TextEncoder, Vocabulary, vocabulary
 
 #: Pre-tokens in a leaf when a tree is built; a leaf that an edit makes twice as long is halved.
 LEAF = 64
@@ -27,9 +28,9 @@ class PreTokenCounter:
     of them is divided by itself, as the library does unless told otherwise; without, their letters are ordinary text.
     """
 
-    def __init__(self, bpe: Bpe, special_tokens: bool = True):
-        self.bpe = bpe
-        self.special = dict(bpe.special) if special_tokens else {}
+    def __init__(self, model: tuple[Bpe, Vocabulary], special_tokens: bool = True):
+        self.bpe, self.encoder = model[0], TextEncoder(model[1])
+        self.special = dict(self.bpe.special) if special_tokens else {}
         # The longest first: one may begin another.
         names = sorted(self.special, key=len, reverse=True)
         self.special_at = regex.compile("|".join(map(regex.escape, names))) if names else None
@@ -42,8 +43,7 @@ class PreTokenCounter:
         if len(self.known) > MEMORY:
             self.known.clear()
         if new := [p for p in set(pre) if p not in self.known and p not in self.special]:
-            ids = self.bpe.encode_words([p.encode("utf-8", "surrogatepass") for p in new])
-            self.known.update(zip(new, map(len, ids), strict=True))
+            self.known.update((p, self.encoder.tokens_in(p) if len(p) < LONG else len(self.bpe.merge(p.encode("utf-8", "surrogatepass")))) for p in new)
         self.known.update(dict.fromkeys(self.special, 1))
         return np.fromiter(map(self.known.__getitem__, pre), np.int64, len(pre))
 
@@ -186,7 +186,7 @@ def counted_trees(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     one document's tree at a time. A special token that a text spells out is one token, as in ``bpe.encode_documents``; with
     ``special_tokens`` off its letters are ordinary text.
     """
-    model = docs.sparkSession.sparkContext.broadcast(Bpe.load(path))
+    model = docs.sparkSession.sparkContext.broadcast((Bpe.load(path), vocabulary(path)))
 
     def count(counter: PreTokenCounter, r) -> tuple:
         lens, toks = counter.measured(r.text or "")
@@ -211,7 +211,7 @@ def edited_trees(trees: DataFrame, path: str, edits_col: str = "edits", special_
     edits). A null or empty array changes nothing, but that a null text becomes an empty one. No rows give no rows; other
     columns are ignored, whatever their names. No shuffle.
     """
-    model = trees.sparkSession.sparkContext.broadcast(Bpe.load(path))
+    model = trees.sparkSession.sparkContext.broadcast((Bpe.load(path), vocabulary(path)))
 
     def edit(counter: PreTokenCounter, r) -> tuple:
         tree = CountTree(counter, r.text or "", bytes(r.tree))

@@ -7,6 +7,7 @@ from tokenizers import Tokenizer
 
 from orrery.llm.bpe import Bpe, WordEncoder, encode_documents
 from orrery.llm.queries import op2_bpe_encode_decode, op8_token_counts
+from orrery.llm.text_encoder import vocabulary
 from orrery.llm.token_counts import CountTree, PreTokenCounter, counted_trees, edited_trees
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
@@ -64,7 +65,7 @@ def test_query_and_odd_rows(spark, sf_dir, word_lib):
 @pytest.mark.parametrize("special", [True, False])
 def test_edits_keep_the_count_right(special):
     """Also edits that make and break special tokens, wherever they are cut."""
-    lib, counter, rng = Tokenizer.from_file(BYTE), PreTokenCounter(Bpe.load(BYTE), special), random.Random(2)
+    lib, counter, rng = Tokenizer.from_file(BYTE), PreTokenCounter((Bpe.load(BYTE), vocabulary(BYTE)), special), random.Random(2)
     lib.encode_special_tokens = not special
     alphabet = ["'", "r", "e", "l", "ve", " ", "  ", "\n", "\t\n ", "12", "é", "日", "!", "word", "'re", "s", "<|endoftext|>", "<|endof", "text|>", "<", "|", ">"]
     for n in (0, 1, 5, 60, 900):

@@ -7,6 +7,7 @@ from tokenizers import Tokenizer
 
 from orrery.llm import packing as K
 from orrery.llm.queries import TOKENIZERS, op11_best_fit_packing
+from orrery.llm.text_encoder import TextEncoder, has_long_run, vocabulary
 
 PATH = str(TOKENIZERS / "byte_bpe_50k.json")
 
@@ -20,13 +21,14 @@ def library():
 
 
 def test_ids_are_those_of_the_library(library):
-    encoding, ids = K.text_encoder(PATH)
+    encoder = TextEncoder(vocabulary(PATH))
     rng = random.Random(1)
     letters = list("aeiounst THE'' '\n\t  1290.,<|>é中\U0001f600́ \u0085 　 ᠎​﻿\x1c\x00") + ["<|endoftext|>", "'re", " the", "ing", "\r\n"]
     texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(60))) for _ in range(8000)]
-    texts += [f"a{chr(c)}1 {chr(c) * 2} b" for c in range(0x3100) if c] + ["x" * 20_000, " " * 20_000, "\n " * 9000]
+    texts += [f"a{chr(c)}1 {chr(c) * 2} b" for c in range(0x3100) if c] + ["x" * 20_000, " " * 20_000, "\n " * 9000, "a b " + "y" * 300_000 + "<|endoftext|> c", " " * 200_000]
     for text, want in zip(texts, library.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-        assert ids[encoding.encode_to_numpy(text, allowed_special="all")].tolist() == want.ids, text[:50]
+        assert encoder.encode(text).tolist() == want.ids, text[:50]
+    assert has_long_run("x" * 5000) and has_long_run("a b " * 999 + " " * 5000) and not has_long_run("word " * 9999)
 
 
 def test_pieces(spark, library):
