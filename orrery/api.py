@@ -130,11 +130,15 @@ def write_and_diff(spark: SparkSession, m: store.CodeMapTables, folder: str) ->
     corpus = find_corpus(m)
     indexed = old is not None and all(old.has(n) for n in find_index.TABLES)
     m.tables |= find_index.refreshed({n: old[n] for n in find_index.TABLES}, corpus, written) if indexed else find_index.build(corpus, written)
-    m.tables |= resolve.path_index(known_of(m, edges.merge_edges(_normal(m["ast_edges"]), _normal(m["llm_edges"]))), keep=written)
+    m.tables |= resolve.path_index(known_of(m, merged_edges(m)), keep=written)
     store.write_map(m, folder)
     return found, compared, state
 
 
+def merged_edges(t: store.CodeMapTables) -> DataFrame:
+    return edges.merge_edges(_normal(t["ast_edges"]), _normal(t["llm_edges"]))
+
+
 def known_of(t: store.CodeMapTables, merged: DataFrame) -> DataFrame:
     """The paths that a map knows."""
     return edges.known_paths((merged, "src"), (merged, "dst"), (t["modules"], "path"), (t["file_summaries"], "path"), (t["entry_points"], "path"))
@@ -162,7 +166,7 @@ class CodeMap:
 
     def __init__(self, tables: store.CodeMapTables):
         self.t = tables
-        self.edges = edges.merge_edges(_normal(tables["ast_edges"]), _normal(tables["llm_edges"])).cache()
+        self.edges = merged_edges(tables).cache()
         self.known = known_of(tables, self.edges)
 
     def _hits(self, path: str, most: int = 20) -> list[str]:

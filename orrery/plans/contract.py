@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery import api
+from orrery import api, sql
 from orrery.functions import paths, text
 from orrery.functions.lineage import written
 from orrery.operators import budget, diff, edges, find_index, graph, quality, resolve, search
@@ -62,11 +62,11 @@ def _url_paths(spark, d):
     return _table(spark, d, "pages").withColumn("path", F.regexp_replace(F.regexp_replace("url", "^https?://", ""), "[?#].*$", ""))
 
 
-def query(sql: str | None = None):
+def query(expected: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
+        if expected:
+            SQL[f.__name__] = expected
         return f
 
     return add
@@ -424,6 +424,20 @@ def overview_counts(spark, d):
     return _map(spark, d).overview()
 
 
+@query(f"""WITH RECURSIVE {_EDGES}, top AS (SELECT dst FROM m WHERE src <> dst GROUP BY dst ORDER BY count(DISTINCT src) DESC, dst LIMIT 1),
+walk AS (SELECT src AS node, 1 AS d FROM m WHERE dst = (SELECT dst FROM top) UNION SELECT m.src, d + 1 FROM walk JOIN m ON m.dst = walk.node WHERE d < 40)
+SELECT 'neighbors' AS question, CASE WHEN dst = (SELECT dst FROM top) THEN 'in' ELSE 'out' END AS way, CAST(CASE WHEN dst = (SELECT dst FROM top) THEN src ELSE dst END AS VARCHAR) AS other, NULL AS distance, kind FROM m WHERE (src = (SELECT dst FROM top)) <> (dst = (SELECT dst FROM top))
+UNION ALL SELECT 'neighbors', w, CAST(src AS VARCHAR), NULL, kind FROM m, (VALUES ('in'), ('out')) v(w) WHERE src = dst AND src = (SELECT dst FROM top)
+UNION ALL SELECT 'dependents', NULL, CAST(node AS VARCHAR), min(d), NULL FROM walk WHERE node <> (SELECT dst FROM top) GROUP BY node""")
+def sql_questions(spark, d):
+    """The most imported node's neighbours and all that depends on it, asked in SQL."""
+    top = edges.top_fan_in(_m(spark, d), 1).first()
+    sql.register(spark, _map(spark, d).t, "contract_")
+    node = top["dst"] if top else ""
+    near = f"SELECT 'neighbors' AS question, direction AS way, other, CAST(NULL AS INT) AS distance, kind FROM neighbors('{node}')"
+    return spark.sql(f"{near} UNION ALL SELECT 'dependents', NULL, other, distance, NULL FROM dependents('{node}', true)")
+
+
 @query("SELECT avg(s) AS mean, count(s) AS scored, count(*) - count(s) AS skipped, count(CASE WHEN s < 0.5 THEN 1 END) AS n_low FROM (SELECT CASE WHEN length(trim(text)) >= 64 THEN quality * 0.75 + toxic * 0.25 END AS s FROM documents LEFT JOIN labels USING (doc_id))")
 def evidence_aggregate(spark, d):
     j = _table(spark, d, "documents").join(_table(spark, d, "labels"), "doc_id", "left")
