@@ -28,6 +28,14 @@ def unique_in_directory(known: DataFrame, directory: str = "dir") -> DataFrame:
     return known.groupBy(directory).agg(F.count("*").alias("n"), F.min("path").alias("path")).where("n = 1").select(directory, "path")
 
 
+def _under_roots(names: DataFrame, column: str, roots: DataFrame) -> DataFrame:
+    """Adds ``lang, key, seq``: each name without each root that it begins with; roots meet the names' beginnings by equality."""
+    parts = F.split(column, "/")
+    begin = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.when(i == 0, "").otherwise(F.concat(F.array_join(F.slice(parts, F.lit(1), F.greatest(i, F.lit(1))), "/"), F.lit("/"))))
+    each = names.withColumn("root", F.explode(begin)).join(roots.select("lang", "root", "seq"), "root")
+    return each.withColumn("key", F.substring(F.col(column), F.length("root") + 1, F.lit(1 << 30))).drop("root")
+
+
 def resolve_candidates(targets: DataFrame, known: DataFrame, roots: DataFrame) -> DataFrame:
     """``id, path, n`` for targets whose candidates exist.
 
@@ -36,15 +44,21 @@ def resolve_candidates(targets: DataFrame, known: DataFrame, roots: DataFrame) -
     of the language, the order of candidates before the order of roots; a directory's files are counted over all its roots.
     ``known(path, dir)``, ``roots(lang, root, seq)``. The least priority that exists decides; ``n`` is how many files it has
     (more than one: an ambiguous directory).
+
+    Known paths are taken out of the roots above them, so that candidates meet them by language and key; no candidate meets
+    a root that has nothing of its name.
     """
     each = targets.select("id", "lang", F.explode("cands").alias("c")).select("id", "lang", "c.*")
-    plain = each.where("not rooted").select("id", "kind", "ext", (F.col("prio") * 1000).alias("prio"), "key")
-    under = each.where("rooted").join(roots, "lang").select("id", "kind", "ext", (F.col("prio") * 1000 + F.when(F.col("kind") == "file", F.col("seq")).otherwise(0)).alias("prio"), F.concat("root", "key").alias("key"))
-    both = plain.unionByName(under)
-    files = both.where("kind = 'file'").join(known.select(F.col("path").alias("key"), "path"), "key").select("id", "prio", "path")
-    dirs = both.where("kind = 'dir'").join(known.select(F.col("dir").alias("key"), "path"), "key").where(F.col("path").endswith(F.col("ext")) & ~F.col("path").endswith("_test.go")).select("id", "prio", "path")
-    hits = files.unionByName(dirs).groupBy("id", "prio").agg(F.countDistinct("path").alias("n"), F.min("path").alias("path"))
-    return hits.groupBy("id").agg(F.min(F.struct("prio", "n", "path")).alias("m")).select("id", F.col("m.path").alias("path"), F.col("m.n").alias("n"))
+    files, dirs = known.select("path").distinct(), known.select("dir", "path")
+    plain, under = each.where("not rooted"), each.where("rooted")
+    none = F.lit(0).alias("seq")
+    of_dir = F.col("path").endswith(F.col("ext")) & ~F.col("path").endswith("_test.go")
+    hits = plain.where("kind = 'file'").join(files.select(F.col("path").alias("key"), "path"), "key").select("id", "prio", none, "path")
+    hits = hits.unionByName(plain.where("kind = 'dir'").join(dirs.withColumnRenamed("dir", "key"), "key").where(of_dir).select("id", "prio", none, "path"))
+    hits = hits.unionByName(under.where("kind = 'file'").join(_under_roots(files, "path", roots), ["lang", "key"]).select("id", "prio", "seq", "path"))
+    hits = hits.unionByName(under.where("kind = 'dir'").join(_under_roots(dirs, "dir", roots), ["lang", "key"]).where(of_dir).select("id", "prio", none, "path"))
+    found = hits.groupBy("id", "prio", "seq").agg(F.countDistinct("path").alias("n"), F.min("path").alias("path"))
+    return found.groupBy("id").agg(F.min(F.struct("prio", "seq", "n", "path")).alias("m")).select("id", F.col("m.path").alias("path"), F.col("m.n").alias("n"))
 
 
 def resolve_path(known: DataFrame, query: str, most: int = 20) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.functions import paths
@@ -28,9 +28,8 @@ def source_roots(known: DataFrame) -> DataFrame:
     others = known.select(paths.language(p).alias("lang"), src.alias("root"), clean.alias("clean")).where("lang in ('csharp', 'php') and (clean or lang = 'csharp')").select("lang", "root")
     found = python.unionByName(java).unionByName(others).where("root is not null and root <> ''").distinct().select("lang", F.concat("root", F.lit("/")).alias("root"))
     top = known.sparkSession.createDataFrame([(x, "") for x in sorted(set(paths.LANGUAGES.values()))], "lang string, root string")
-    # A handful of prefixes for each language.
-    ordered = top.unionByName(found).groupBy("lang").agg(F.array_sort(F.collect_set(F.struct(F.length("root").alias("n"), "root"))).alias("r"))
-    return ordered.select("lang", F.posexplode("r").alias("seq", "x")).select("lang", "x.root", "seq")
+    order = Window.partitionBy("lang").orderBy(F.length("root"), "root")
+    return top.unionByName(found).distinct().withColumn("seq", F.row_number().over(order) - 1)
 
 
 def _strings(values: list[str]) -> Column:
@@ -81,7 +80,7 @@ def resolved_edges(targets: DataFrame, known: DataFrame) -> tuple[DataFrame, Dat
     known = known.select("path", paths.directory(F.col("path")).alias("dir"))
     targets = targets.withColumn("id", F.struct("src", "pos", "tgt"))
     roots = source_roots(known)
-    hits = resolve_candidates(targets.select("id", "lang", "cands"), known, F.broadcast(roots))
+    hits = resolve_candidates(targets.select("id", "lang", "cands"), known, roots)
     uses = targets.where("lang = 'rust' and kind = 'import'").select("id", "src", "spec")
     hits = hits.unionByName(_rust_uses(uses, known).withColumn("n", F.lit(1).cast("long")))
     j = targets.drop("cands").join(hits, "id", "left")
