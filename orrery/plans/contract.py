@@ -174,25 +174,25 @@ def diff_dimensions(spark, d):
 @query(f"""WITH {_EDGES}, shown AS (SELECT *, CAST(src AS VARCHAR) || ' -> ' || CAST(dst AS VARCHAR) || ' (' || kind || ')' AS item FROM (SELECT 'a' AS t, * FROM a UNION ALL SELECT 'l', * FROM l)),
 x AS (SELECT item FROM shown WHERE t = 'a'), y AS (SELECT item FROM shown WHERE t = 'l'),
 c AS (SELECT n_regionkey, string_agg(n_name, ' -> ' ORDER BY n_name) AS item, string_agg(n_name, ' -> ' ORDER BY n_name) FILTER (n_nationkey >= 5) AS later FROM nation GROUP BY n_regionkey)
-SELECT 'modules' AS dimension, 'added' AS change, p_type AS item FROM part WHERE p_size > 25 GROUP BY p_type HAVING p_type NOT IN (SELECT p_type FROM part WHERE p_size <= 25)
-UNION ALL SELECT 'modules', 'removed', p_type FROM part WHERE p_size <= 25 GROUP BY p_type HAVING p_type NOT IN (SELECT p_type FROM part WHERE p_size > 25)
+SELECT 'modules' AS dimension, CASE WHEN p_size > 40 THEN 'added' ELSE 'removed' END AS change, p_name || CAST(p_partkey AS VARCHAR) AS item FROM part WHERE p_size > 40 OR p_size < 10
 UNION ALL SELECT 'import_edges', 'added', item FROM (SELECT item FROM x EXCEPT SELECT item FROM y) UNION ALL SELECT 'import_edges', 'removed', item FROM (SELECT item FROM y EXCEPT SELECT item FROM x)
 UNION ALL SELECT 'deterministic_edges', 'added', item FROM (SELECT item FROM y EXCEPT SELECT item FROM x)
 UNION ALL SELECT 'import_cycles', 'added', later FROM c WHERE later <> item UNION ALL SELECT 'import_cycles', 'removed', item FROM c WHERE later IS NULL OR later <> item
 UNION ALL SELECT 'data_flow', CASE WHEN s_acctbal < 0 THEN 'removed' ELSE 'added' END, s_name || ' -> ' || CAST(s_nationkey AS VARCHAR) FROM supplier
-UNION ALL SELECT 'entry_points', 'removed', event_type || ' : ' || CAST(user_id AS VARCHAR) FROM (SELECT event_type, user_id FROM events GROUP BY ALL HAVING max(value) < 20)
+UNION ALL SELECT 'entry_points', 'removed', event_type || ' : ' || CAST(user_id AS VARCHAR) FROM (SELECT event_type, user_id FROM events GROUP BY ALL HAVING count(*) < 25)
 UNION ALL SELECT 'file_summaries', 'added', CAST(doc_id AS VARCHAR) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""")
 def diff_all_dimensions(spark, d):
     """All seven dimensions of two runs; a cycle's nodes count as a set, whatever their order and repeats."""
     p, n, s, e = (_table(spark, d, t) for t in ("part", "nation", "supplier", "events"))
+    part = lambda t: t.select(F.concat("p_name", F.col("p_partkey").cast("string")).alias("path"))
     cycle = lambda t: t.groupBy("n_regionkey").agg(F.collect_list("n_name").alias("nodes"))
     flow = lambda t: t.select(F.col("s_name").alias("source"), F.col("s_nationkey").cast("string").alias("destination"))
     point = lambda t: t.select(F.col("event_type").alias("path"), F.col("user_id").cast("string").alias("name"))
     id_ = lambda t: _table(spark, d, t).select(F.col("doc_id").cast("string").alias("path"))
-    old = {"modules": p.where("p_size <= 25").select(F.col("p_type").alias("path")), "llm_edges": _l(spark, d), "ast_edges": _a(spark, d), "cycles": cycle(n), "data_flow": flow(s.where("s_acctbal < 0")), "entry_points": point(e), "file_summaries": id_("labels")}
+    old = {"modules": part(p.where("p_size <= 40")), "llm_edges": _l(spark, d), "ast_edges": _a(spark, d), "cycles": cycle(n), "data_flow": flow(s.where("s_acctbal < 0")), "entry_points": point(e), "file_summaries": id_("labels")}
     new = {
-        "modules": p.where("p_size > 25").select(F.col("p_type").alias("path")), "llm_edges": _a(spark, d), "ast_edges": _a(spark, d).unionByName(_l(spark, d)), "cycles": cycle(n.where("n_nationkey >= 5").unionByName(n.where("n_nationkey >= 5"))).withColumn("nodes", F.reverse("nodes")),
-        "data_flow": flow(s.where("s_acctbal >= 0")), "entry_points": point(e.groupBy("event_type", "user_id").agg(F.max("value").alias("v")).where("v >= 20")), "file_summaries": id_("documents"),
+        "modules": part(p.where("p_size >= 10")), "llm_edges": _a(spark, d), "ast_edges": _a(spark, d).unionByName(_l(spark, d)), "cycles": cycle(n.where("n_nationkey >= 5").unionByName(n.where("n_nationkey >= 5"))).withColumn("nodes", F.reverse("nodes")),
+        "data_flow": flow(s.where("s_acctbal >= 0")), "entry_points": point(e.groupBy("event_type", "user_id").agg(F.count("*").alias("n")).where("n >= 25")), "file_summaries": id_("documents"),
     }
     return diff.diff_runs(old, new)[0]
 
@@ -367,20 +367,20 @@ def candidate_resolve(spark, d):
 r AS (SELECT root, row_number() OVER (ORDER BY length(root), root) - 1 AS seq FROM (SELECT DISTINCT regexp_extract(p, '^[^/]*/', 0) AS root FROM f UNION SELECT '')),
 t AS (SELECT page_id AS id, p, regexp_replace(p, '^[^/]*/', '') AS rest FROM f),
 h AS (SELECT id, 0 AS prio, seq, path FROM t, r JOIN k ON k.path = root || rest || '.missing'
-UNION ALL SELECT id, 1, seq, path FROM t, r JOIN k ON k.path = root || regexp_replace(rest, '^([^/]*)/[0-9]+/', chr(92) || '1/100/')
+UNION ALL SELECT id, 1, seq, path FROM t, r JOIN k ON k.path = root || CASE WHEN ends_with(rest, '.md') THEN rest ELSE rest || '.none' END
 UNION ALL SELECT id, 2, 0, path FROM t, r JOIN k ON k.dir = root || regexp_extract(rest, '^(.*)/[^/]*$', 1) AND ends_with(path, '.py')
 UNION ALL SELECT id, 3, 0, path FROM t JOIN k ON k.path = p),
 g AS (SELECT id, prio, seq, count(DISTINCT path) AS n, min(path) AS path FROM h GROUP BY ALL)
 SELECT id, path, n FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY prio, seq) AS first FROM g) WHERE first = 1""")
 def candidates_with_roots(spark, d):
-    """Each page's file asks for a file that no host has, one with another number and the Python files of a directory under any host, then for itself."""
+    """Each page's file asks for a file that no host has, for itself under any host if it is a text, for the Python files of its directory under any host, then for itself."""
     f = _files(spark, d)
     known = f.select(F.col("p").alias("path"), paths.directory(F.col("p")).alias("dir")).distinct()
     hosts = f.select(F.lit("any").alias("lang"), F.regexp_extract("p", "^[^/]*/", 0).alias("root")).distinct().unionByName(spark.createDataFrame([("any", "")], "lang string, root string"))
     roots = hosts.withColumn("seq", F.row_number().over(Window.partitionBy("lang").orderBy(F.length("root"), "root")) - 1)
     rest = F.regexp_replace("p", "^[^/]*/", "")
     cand = lambda prio, kind, key, rooted, ext="": F.struct(F.lit(prio).alias("prio"), F.lit(kind).alias("kind"), key.alias("key"), F.lit(rooted).alias("rooted"), F.lit(ext).alias("ext"))
-    cands = F.array(cand(0, "file", F.concat(rest, F.lit(".missing")), True), cand(1, "file", F.regexp_replace(rest, "^([^/]*)/[0-9]+/", "$1/100/"), True), cand(2, "dir", paths.directory(rest), True, ".py"), cand(3, "file", F.col("p"), False))
+    cands = F.array(cand(0, "file", F.concat(rest, F.lit(".missing")), True), cand(1, "file", F.when(rest.endswith(".md"), rest).otherwise(F.concat(rest, F.lit(".none"))), True), cand(2, "dir", paths.directory(rest), True, ".py"), cand(3, "file", F.col("p"), False))
     return resolve.resolve_candidates(f.select(F.col("page_id").alias("id"), F.lit("any").alias("lang"), cands.alias("cands")), known, roots)
 
 
