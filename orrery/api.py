@@ -88,7 +88,7 @@ def build_map(spark: SparkSession, root: str, settings: Settings | None = None)
         lines = files.select(F.col("path").alias("node"), F.col("line_count").alias("sloc"))
         tests = files.where(paths.is_test(F.col("path"))).select(F.col("path").alias("node"))
         tables["cycles"] = graph.cycles(norm, lines, tests, s.cycle_threshold)
-    meta = {"created_at": datetime.datetime.now(datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ"), "commit_sha": git_head(root), "engine_version": VERSION, "partial_languages": partial, "skipped": listing.skipped}
+    meta = {"created_at": datetime.datetime.now(datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ"), "commit_sha": git_head(root), "engine_version": VERSION, "partial_languages": partial, "skipped": listing.skipped, "skipped_by": listing.causes}
     if tables.get("llm_edges") is not None and tables["ast_edges"] is not None:
         a, b = _normal(tables["ast_edges"]), _normal(tables["llm_edges"])
         known = list(paths.LANGUAGES)

@@ -1,7 +1,9 @@
 import os
 
 import pytest
+from pyspark.sql import datasource as ds
 
+from orrery.sources import tree
 from orrery.sources.edges import import_edges
 from orrery.sources.tree import scan
 
@@ -119,3 +121,43 @@ def test_ignore_file_that_leads_out_of_the_tree(spark, tmp_path):
     make(tmp_path, {"elsewhere": "a.py\n", "t/a.py": "", "t/b.py": ""})
     os.symlink(f"{tmp_path}/elsewhere", f"{tmp_path}/t/.orreryignore")
     assert {r["path"] for r in scan(spark, f"{tmp_path}/t")[0].collect()} == {"a.py", "b.py"}
+
+
+def test_exclusions_reach_the_listing(spark, tmp_path, monkeypatch, capsys):
+    """Filters on paths are in the plan, and a directory that no row can come from is not opened."""
+    root = make(tmp_path, {"a.py": "", "src/one/b.py": "", "src/vendor/deep/c.py": "", "vendor/d.py": "", "src/gen_x/e.py": "", "docs/f.md": "", "docs/in/g.md": "", "p.egg-info/h": ""})
+    found = tree.listed(spark, root, ["vendor", "docs/in", "*.egg-info", "gen_*"])
+    found.explain("formatted")
+    pushed = next(x for x in capsys.readouterr().out.splitlines() if x.startswith("PushedFilters"))
+    assert all(x in pushed for x in ("Not(StringContains(path,/vendor/))", "Not(StringStartsWith(path,docs/in/))", "Not(StringContains(path,.egg-info/))"))
+    assert {r["path"] for r in found.collect()} == {"a.py", "src", "src/one", "src/one/b.py", "src/vendor", "vendor", "src/gen_x", "docs", "docs/f.md", "docs/in", "p.egg-info"}
+    assert {r["path"] for r in found.where("path like 'src/one/%'").collect()} == {"src/one/b.py"}
+
+    def opened(filters, globs="[]", width="64"):
+        seen, real = [], os.scandir
+        reader = tree.Lister({"path": root, "globs": globs, "width": width})
+        assert not list(reader.pushFilters(filters))
+        monkeypatch.setattr(os, "scandir", lambda at: seen.append(os.path.relpath(at, root)) or real(at))
+        rows = sorted(r[0] for p in reader.partitions() for r in reader.read(p))
+        monkeypatch.undo()
+        return set(seen), rows
+
+    for width in ("1", "2", "64"):  # with few levels opened, tasks do the walking
+        seen, rows = opened([ds.Not(ds.StringContains(("path",), "/vendor/")), ds.Not(ds.StringStartsWith(("path",), "vendor/"))], '["gen_*"]', width)
+        assert seen == {".", "src", "src/one", "docs", "docs/in", "p.egg-info"}
+        assert rows == sorted(["a.py", "src", "src/one", "src/one/b.py", "src/vendor", "vendor", "src/gen_x", "docs", "docs/f.md", "docs/in", "docs/in/g.md", "p.egg-info", "p.egg-info/h"])
+        assert opened([ds.StringStartsWith(("path",), "src/on")], width=width) == ({".", "src", "src/one"}, ["src/one", "src/one/b.py"])
+        assert opened([ds.EqualTo(("path",), "docs/in/g.md")], width=width) == ({".", "docs", "docs/in"}, ["docs/in/g.md"])
+        assert opened([ds.In(("path",), ("a.py", "docs/f.md"))], width=width)[1] == ["a.py", "docs/f.md"]
+    assert list(tree.Lister({"path": root}).pushFilters([ds.EqualTo(("name",), "x"), ds.GreaterThan(("size",), 1)])) == [ds.EqualTo(("name",), "x"), ds.GreaterThan(("size",), 1)]
+
+
+def test_what_was_left_out_by_cause_and_lines(spark, tmp_path):
+    root = make(tmp_path, {"a.py": "", "b/c/d.py": "", "b/e.py": "", "b/f.py": "", "b/g.py": "", "z/1.py": "", "z/2.py": "", "z/t/x.py": "", "dist": "", "i.png": "", "id_rsa": "", "tests/test_q.py": ""})
+    os.symlink("/etc/passwd", f"{root}/out.py")
+    _, listing = scan(spark, root, max_files=3, include_tests=False, per_dir=2)
+    assert listing.causes == {"excluded": 1, "link": 1, "binary": 1, "sensitive": 1, "test": 1, "over_limit": 5} and listing.skipped == 10
+    assert listing.lines == ["b/", "  c/", "    d.py", "  e.py", "  (2 more)", "tests/", "  test_q.py", "(4 more)"]
+    os.mkdir(f"{root}/empty")
+    empty, listing = scan(spark, f"{root}/empty")
+    assert empty.count() == 0 and listing.lines == [] and listing.skipped == 0
