@@ -20,8 +20,6 @@ FIT_ROWS, FIT_EACH = 20_000, 8
 TILE = 512
 #: How far a vector looks over its cell's borders, in standard deviations of how partners differ along a direction.
 REACH = 2.5
-#: Vectors of the sample that a length must have for cells of its own.
-LEAST_SAMPLE = 16
 
 
 def _spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -67,16 +65,22 @@ def cells_of(x: np.ndarray, centroids: np.ndarray, slope: float) -> tuple[np.nda
     A partner that differs by the angle whose tangent is ``slope`` (or less, along the line between two centroids) crosses
     the border to a cell if the vector's distance to that border is no more than ``slope`` times the centroids' distance.
     """
-    cos = x @ centroids.T
-    home = np.argmax(cos, axis=1)
-    apart = np.sqrt(np.maximum(2 - 2 * (centroids @ centroids.T), 0))
-    near = cos[np.arange(len(x)), home][:, None] - cos <= slope * apart[home] + 1e-9
-    near &= np.arange(len(centroids))[None, :] > home[:, None]
-    return home, [np.flatnonzero(r) for r in near]
+    home, visits = np.zeros(len(x), int), []
+    step = max(16, (4 << 20) // len(centroids))
+    for at in range(0, len(x), step):
+        cos = x[at : at + step] @ centroids.T
+        own = home[at : at + step] = np.argmax(cos, axis=1)
+        # Distances to the other centroids from these vectors' own cells only: no table of all pairs of centroids.
+        cells, back = np.unique(own, return_inverse=True)
+        apart = np.sqrt(np.maximum(2 - 2 * (centroids[cells] @ centroids.T), 0))
+        near = cos[np.arange(len(own)), own][:, None] - cos <= slope * apart[back] + 1e-9
+        near &= np.arange(len(centroids))[None, :] > own[:, None]
+        visits += [np.flatnonzero(r) for r in near]
+    return home, visits
 
 
 def _assign(centroids):
-    """Home cells and visited cells; vectors of a length without centroids share one cell."""
+    """Home cells and visited cells; vectors of a length of no more than a tile share one cell."""
 
     def batch(rows: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -84,8 +88,7 @@ def _assign(centroids):
             x = _unit(same["v"])
             if length in centroids.value:
                 c, slope = centroids.value[length]
-                parts = [cells_of(x[i : i + 1024], c, slope) for i in range(0, len(x), 1024)]
-                home, visits = np.concatenate([p[0] for p in parts]), [v for p in parts for v in p[1]]
+                home, visits = cells_of(x, c, slope)
             else:
                 home, visits = np.zeros(len(x), int), [np.zeros(0, int)] * len(x)
             out.append(pd.DataFrame({"node": same["node"], "copies": same["copies"], "length": length, "home": home.astype(np.int32), "visits": [v.astype(np.int32) for v in visits], "u": [r.tobytes() for r in x]}))
@@ -143,27 +146,29 @@ def _tile(row, threshold: float) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"node": nodes[touched], "links": degree[touched], "root": nodes[label[touched]]})
 
 
-def fitted_cells(vectors: DataFrame, threshold: float, fit_rows: int = FIT_ROWS, reach: float = REACH, exact: bool = False) -> dict[int, tuple[np.ndarray, float]]:
-    """Centroids and slope (see ``cells_of``) for each length of vectors(key, v) that the sample has enough of.
+def fitted_cells(vectors: DataFrame, threshold: float, fit_rows: int = FIT_ROWS, reach: float = REACH, exact: bool = False, tile: int = TILE) -> dict[int, tuple[np.ndarray, float]]:
+    """Centroids and slope (see ``cells_of``) for each length that more than ``tile`` of vectors(key, v) have.
 
     There are as many cells as vectors in each, the square root of their number, so cells and centroids grow alike; what the
-    driver holds grows with the root only: the sample has ``fit_rows`` rows, or ``FIT_EACH`` for each centroid if that is
-    more. A partner's difference is taken to be spread over directions as unevenly as those of vectors from their centroids.
+    driver holds grows with the root only. Each length has a sample of its own, of some ``fit_rows`` vectors, or
+    ``FIT_EACH`` for each centroid if that is more: those whose keys' hashes are below the length's share, so that nothing is
+    sorted. A partner's difference is taken to be spread over directions as unevenly as those of vectors from their centroids.
     """
-    counts = vectors.groupBy(F.size("v").alias("length")).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    rows = max(fit_rows, FIT_EACH * int(math.sqrt(total)))
-    sample = vectors.orderBy(F.xxhash64("key"), "key").limit(rows).select("v").toArrow()["v"].to_pandas()
-    by_length = {n: _unit(v) for n, v in sample.groupby(sample.map(len)) if len(v) >= LEAST_SAMPLE}
-    if not by_length:
+    length = F.size("v").alias("length")
+    known = {r["length"]: r["n"] for r in vectors.groupBy(length).agg(F.count("*").alias("n")).where(F.col("n") > tile).collect()}
+    if not known:
         return {}
-    known = {r["length"]: r["n"] for r in counts.where(F.col("length").isin(list(by_length))).collect()}
+    shares = [(m, n, min(1.0, max(fit_rows, FIT_EACH * math.isqrt(n)) / n)) for m, n in known.items()]
+    wanted = vectors.sparkSession.createDataFrame(shares, "length int, n long, share double")
+    drawn = vectors.withColumn("length", length).join(F.broadcast(wanted), "length").where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < F.col("share") * (1 << 30))
+    sample = drawn.select("length", F.xxhash64("key").alias("at"), "v").toArrow().to_pandas().sort_values(["length", "at"])
     out = {}
-    for length, x in by_length.items():
-        k = max(1, min(int(math.sqrt(known[length])), len(x) // 2))
+    for m, rows in sample.groupby("length"):
+        x = _unit(rows["v"])
+        k = max(1, min(math.isqrt(known[m]), len(x) // 2))
         c = _spherical_kmeans(x, k)
         slope = math.sqrt(1 - threshold**2) / threshold * (1.0 if exact else min(1.0, reach * _spread(x, c)))
-        out[length] = (c, slope)
+        out[int(m)] = (c, slope)
     return out
 
 
@@ -180,7 +185,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     Returns one row per input row: ``id, n_links`` (other rows linked directly), ``component_id`` (the smallest id that
     links reach, itself included), ``kept`` (id = component_id). Vectors that are null, zero, hold a null or non-finite
     component, or differ in length from the others' link with none (vectors of each length are compared among themselves;
-    those of a length that is rare in the sample in one cell). A null id makes a row of its own with nulls. Rows of one id
+    those of a length that no more than ``tile`` distinct vectors have in one cell). A null id makes a row of its own with nulls. Rows of one id
     have the links of their own vectors each, and are one in components. No rows give no rows.
     """
     spark = vectors.sparkSession
@@ -190,7 +195,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     of_key = cut(rows.where("key is not null").groupBy("key").agg(F.min("id").alias("smallest"), F.count("*").alias("copies"), F.first("v").alias("v")))
     # A vector's own number is its smallest id, and another one if that id has several vectors.
     nodes = of_key.withColumn("node", F.xxhash64("key"))
-    state = spark.sparkContext.broadcast(fitted_cells(of_key.select("key", "v"), threshold, fit_rows, reach, exact))
+    state = spark.sparkContext.broadcast(fitted_cells(of_key.select("key", "v"), threshold, fit_rows, reach, exact, tile))
     cells = cut(nodes.select("node", "copies", "v").mapInPandas(_assign(state), "node long, copies long, length int, home int, visits array<int>, u binary"))
     links = cut(_links(cells, threshold, tile))
     of_node = links.groupBy("node").agg(F.sum("links").alias("links"))

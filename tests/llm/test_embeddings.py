@@ -62,6 +62,16 @@ def test_recall_and_share_of_pairs_with_many_cells(spark):
     assert all(got[j][1] in (i, j) for i, j in want)
 
 
+def test_each_length_has_a_sample_and_cells_of_its_own(spark):
+    rng = np.random.default_rng(5)
+    vs = [v for m, n in ((3, 900), (8, 60), (9, 5)) for v in rng.normal(size=(n, m)).tolist()]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vs)], "vec_id long, embedding array<double>")
+    cells = E.fitted_cells(df.selectExpr("cast(vec_id as string) as key", "embedding as v"), 0.9, fit_rows=200, tile=50)
+    assert {m: len(c) for m, (c, _) in cells.items()} == {3: 30, 8: 7}
+    want = brute(list(range(len(vs))), vs)
+    assert rows(near_vectors(df, fit_rows=200, tile=50, exact=True)) == want
+
+
 def test_repeated_ids_and_ties(spark):
     a, b, c = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
     df = spark.createDataFrame([(1, a), (1, b), (2, b), (3, a), (3, a), (4, c), (None, a), (None, None)], "vec_id long, embedding array<double>")
