@@ -4,7 +4,9 @@ Only places where a repeat can be are sorted. Every window of ``length`` bytes h
 hash, so equal windows have equal anchors at the same place in them. The windows of a text that share an anchor make up a
 piece. Pieces whose anchors occur once anywhere have no repeats; pieces that are wholly equal are told apart by their first
 one. What remains, pieces with the same anchor and other contents, is dealt into buckets by the anchor's hash, and each
-bucket's pieces into shards. A shard's transform has, column by column from the right end of the pieces, the bytes before
+bucket's pieces into shards. Where very many pieces share an anchor, it is widened: half of a piece's windows have the bytes
+before it in common with all that equal them, the other half those behind it, so the piece is cut in two and each half goes
+by the wider string, until few share it or it is the whole window. A shard's transform has, column by column from the right end of the pieces, the bytes before
 its sorted suffixes; the transforms of a bucket are merged by refining the interleave of the shards one column at a time.
 The common prefixes of neighbours come along, and neighbours that share ``length`` bytes are a repeated interval.
 """
@@ -14,6 +16,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -24,8 +27,8 @@ from pyspark.sql import functions as F
 from orrery.functions.lineage import cut, written
 
 GRAM = 16
-#: Pieces in a bucket on average, shards of a bucket, and pieces of one anchor above which windows are grouped instead.
-BUCKET, SHARDS, HOT = 16_000, 4, 8_000
+#: Pieces in a bucket on average, shards of a bucket, and different pieces of one anchor above which it is widened.
+BUCKET, SHARDS, HOT = 16_000, 4, 4_000
 #: Bytes that a task looks at together.
 CHUNK = 2 << 20
 _POSITION = np.uint64((1 << 24) - 1)
@@ -121,7 +124,9 @@ def _unpack(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return packed >> 14, (packed >> 7) & 127, (packed & 127) + 1
 
 
-def _piece_bytes(length: int, buckets: int):
+def _piece_bytes(length: int):
+    """A row for each piece with its bytes."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
@@ -129,26 +134,50 @@ def _piece_bytes(length: int, buckets: int):
                 raw = text.encode("utf-8", "surrogatepass")
                 for r in own:
                     x, off, n = (int(v) for v in _unpack(r["packed"]))
-                    out.append((r["hash"] % buckets, (r["packed"] ^ i) * 0x9E3779B1 % SHARDS, i, r["packed"], raw[x - off : x - off + n + length - 1]))
-            yield pd.DataFrame(out, columns=["bucket", "shard", "doc", "packed", "bytes"])
+                    out.append((r["hash"], i, r["packed"], raw[x - off : x - off + n + length - 1]))
+            yield pd.DataFrame(out, columns=["hash", "doc", "packed", "bytes"])
 
     return run
 
 
-def _windows(length: int):
-    """A row for each window of the pieces of anchors that very many pieces share."""
+def _dealt(buckets: int):
+    """Bucket and shard of pieces: those of an anchor meet in one bucket, in any of its shards."""
+    bucket = F.pmod("hash", F.lit(buckets)).cast("int").alias("bucket")
+    return bucket, F.pmod(F.xxhash64("doc", "packed"), F.lit(SHARDS)).cast("int").alias("shard"), "doc", "packed", "bytes"
+
+
+def widened(piece: bytes, before: int, windows: int, left: int, right: int, length: int) -> Iterator[tuple[int, int, int, int, int]]:
+    """The parts of a piece by a wider anchor: (first window, windows, bytes before the anchor, new left, new right).
+
+    All windows of the piece hold its anchor with ``left`` bytes before and ``right`` behind it; ``before`` bytes of the
+    piece lie before the anchor proper. Of the bytes that a window has beside that string, those with at least half on the
+    left take so many bytes on the left into the string, the others what they are then sure to have on the right.
+    """
+    free = length - GRAM - left - right
+    half = (free + 1) // 2
+    # Window j has before - j bytes left of the anchor; from before - left - half on it has too few for the left.
+    split = min(max(before - left - half + 1, 0), windows)
+    if split:
+        yield 0, split, before, left + half, right
+    if split < windows:
+        yield split, windows - split, before - split, left, right + free - half + 1
+
 
+def _narrowed(length: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        digest = xxhash.xxh64_intdigest
         for batch in batches:
             out = []
-            for i, text, own in zip(batch["id"], batch["text"], batch["own"], strict=True):
-                raw = text.encode("utf-8", "surrogatepass")
-                for r in own:
-                    x, off, n = (int(v) for v in _unpack(r["packed"]))
-                    for s in range(x - off, x - off + n):
-                        d = xxhash.xxh128_intdigest(raw[s : s + length])
-                        out.append(((d >> 64) - (1 << 63), (d & (1 << 64) - 1) - (1 << 63), i, s))
-            yield pd.DataFrame(out, columns=["w1", "w2", "doc", "start"])
+            for r in batch.itertuples(index=False):
+                x, before, windows = (int(v) for v in _unpack(r.packed))
+                for first, n, off, left, right in widened(r.bytes, before, windows, r.left, r.right, length):
+                    own = r.bytes[first : first + n + length - 1]
+                    key = digest(own[off - left : off + GRAM + right], left << 8 | right)
+                    out.append((key, digest(own), left, right, r.doc, x << 14 | off << 7 | n - 1, own))
+            found = pd.DataFrame(out, columns=["hash", "digest", "left", "right", "doc", "packed", "bytes"])
+            for c in ("hash", "digest"):
+                found[c] = found[c].to_numpy(np.uint64).view(np.int64)
+            yield found
 
     return run
 
@@ -267,8 +296,9 @@ def repeated_bytes_removed(docs: DataFrame, id_col: str = "doc_id", text_col: st
     for each id. Null and empty texts keep nothing and lose nothing. Rows with a null id are left out; of rows with one id
     that with the smallest text counts. No rows give no rows. Other columns are ignored, whatever their names.
 
-    Anchors of more than ``hot`` different pieces are not put in a bucket: their windows are grouped by 128-bit digests
-    instead, which gives the same repeats however large the group is.
+    Anchors of more than ``hot`` different pieces are widened (``widened``), some seven times at most; then a string is the
+    whole window, and equal pieces were told apart by their first one. So no anchor's group is larger, and all of them go
+    through the transforms.
     """
     if not 32 <= length <= 112:
         raise ValueError("length must be from 32 to 112")
@@ -283,24 +313,34 @@ def repeated_bytes_removed(docs: DataFrame, id_col: str = "doc_id", text_col: st
     firsts = written(pieces.groupBy("hash", "digest").agg(F.min(F.struct("doc", "packed")).alias("f")), "first-pieces")
     shared = firsts.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1")
     judged = cut(firsts.join(shared, "hash").select("hash", "f.doc", "f.packed", (F.col("n") > hot).alias("hot")))
-    n_cold = judged.where("not hot").count()
-    off, windows = F.expr("(packed >> 7) & 127"), F.expr("(packed & 127) + 1")
-    place = F.expr("packed >> 14") - off
-    again = pieces.join(firsts, ["hash", "digest"]).where("doc <> f.doc or packed <> f.packed")
-    found = again.select("doc", place.alias("lo"), (place + windows + (length - 1)).alias("hi"))
+    place, windows = F.expr("(packed >> 14) - ((packed >> 7) & 127)"), F.expr("(packed & 127) + 1")
+    spans = F.col("doc"), place.alias("lo"), (place + windows + (length - 1)).alias("hi")
+    found = pieces.join(firsts, ["hash", "digest"]).where("doc <> f.doc or packed <> f.packed").select(*spans)
 
     def with_text(rows: DataFrame) -> DataFrame:
         own = rows.groupBy(F.col("doc").alias("id")).agg(F.collect_list(F.struct("hash", "packed")).alias("own"))
-        return texts.join(own, "id").select("id", "text", "own")
+        return texts.join(own, "id").select("id", "text", "own").mapInPandas(_piece_bytes(length), "hash long, doc long, packed long, bytes binary")
 
+    n_cold, of_buckets = judged.where("not hot").count(), []
     if n_cold:
-        cold = with_text(judged.where("not hot")).mapInPandas(_piece_bytes(length, max(1, math.ceil(n_cold / bucket))), "bucket int, shard int, doc long, packed long, bytes binary")
-        shards = cold.groupBy("bucket", "shard").applyInPandas(_build(length), "bucket int, shard int, docs binary, packed binary, transform binary")
+        of_buckets.append(with_text(judged.where("not hot")))
+    wide = with_text(judged.where("hot")).select("*", F.lit(0).alias("left"), F.lit(0).alias("right")) if judged.where("hot").limit(1).count() else None
+    while wide is not None:
+        parts = written(wide.mapInPandas(_narrowed(length), "hash long, digest long, left int, right int, doc long, packed long, bytes binary"), "widened")
+        firsts = written(parts.groupBy("hash", "digest").agg(F.min(F.struct("doc", "packed")).alias("f")), "first-widened")
+        found = found.unionByName(parts.join(firsts, ["hash", "digest"]).where("doc <> f.doc or packed <> f.packed").select(*spans))
+        shared = firsts.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1")
+        sized = firsts.join(shared, "hash").select("hash", "digest", "f", (F.col("n") > hot).alias("hot"))
+        # (hash, digest) with its first place is one row of the parts.
+        judged = written(parts.join(sized, ["hash", "digest"]).where("doc = f.doc and packed = f.packed").drop("digest", "f"), "judged-widened")
+        many = judged.where("hot")
+        n_many = many.count()
+        of_buckets.append(judged.where("not hot").select("hash", "doc", "packed", "bytes"))
+        n_cold += judged.count() - n_many
+        wide = many if n_many else None
+    if of_buckets:
+        dealt = reduce(DataFrame.unionByName, of_buckets).select(*_dealt(max(1, math.ceil(n_cold / bucket))))
+        shards = dealt.groupBy("bucket", "shard").applyInPandas(_build(length), "bucket int, shard int, docs binary, packed binary, transform binary")
         found = found.unionByName(shards.groupBy("bucket").applyInPandas(_merge(length), "doc long, lo long, hi long"))
-    if judged.where("hot").limit(1).count():
-        each = with_text(judged.where("hot")).mapInPandas(_windows(length), "w1 long, w2 long, doc long, start long")
-        oldest = each.groupBy("w1", "w2").agg(F.min(F.struct("doc", "start")).alias("f"))
-        late = each.join(oldest, ["w1", "w2"]).where("doc <> f.doc or start <> f.start")
-        found = found.unionByName(late.select("doc", F.col("start").alias("lo"), (F.col("start") + length).alias("hi")))
     ranges = found.groupBy(F.col("doc").alias("id")).agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
     return texts.join(ranges, "id", "left").select("id", "text", "ranges").mapInPandas(_cut_out, "id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")

@@ -36,7 +36,7 @@ def result(df):
     return {r["id"]: (r["n_bytes"], sum(s["end"] - s["start"] for s in r["spans"]), len(r["spans"]), bytes(r["kept"])) for r in df.collect()}
 
 
-@pytest.mark.parametrize("hot", [8000, 3])
+@pytest.mark.parametrize("hot", [8000, 3, 1])
 def test_mixtures(spark, hot):
     rng = random.Random(hot)
     part = lambda n: "".join(rng.choice("abcdefgh é") for _ in range(n))
@@ -73,3 +73,27 @@ def test_merged_transforms_are_the_whole_transform():
     whole = S.merge_transforms([S.shard_transform(pieces, before, length)], np.arange(len(pieces)), length)
     want = np.array([[any(q[c : c + length] == p[c : c + length] for q in pieces[:i]) for i, p in enumerate(pieces)] for c in range(left + 1)])
     assert (got == want).all() and (whole == want).all()
+
+
+def test_widened_anchors_cover_each_window_once_and_end():
+    """Down to whole windows: each window is in one part, holds the part's string, and equal windows take the same way."""
+    for length, before, windows in [(100, 84, 85), (100, 84, 1), (100, 0, 1), (100, 50, 20), (33, 17, 18), (32, 5, 3)]:
+        text = bytes(i % 251 for i in range(windows + length - 1))
+        todo, ends = [(text, before, windows, 0, 0)], []
+        for depth in range(8):
+            nxt = []
+            for piece, b, n, left, right in todo:
+                if left + right == length - S.GRAM:
+                    ends.append((b, n, left))
+                    continue
+                parts = list(S.widened(piece, b, n, left, right, length))
+                assert sum(p[1] for p in parts) == n
+                for first, m, off, lo, hi in parts:
+                    assert off == b - first and lo + hi > left + right
+                    for j in range(m):
+                        assert off - j >= lo and length - S.GRAM - (off - j) >= hi
+                    nxt.append((piece[first : first + m + length - 1], off, m, lo, hi))
+            todo = nxt
+        assert not todo, depth
+        # One window each, told apart by how many bytes it has before the anchor.
+        assert sorted(b for b, n, left in ends) == sorted(range(before - windows + 1, before + 1)) and all(n == 1 and b == left for b, n, left in ends)
