@@ -196,8 +196,8 @@ def _score_block(model):
     def run(docs: pd.DataFrame, vocab: pd.DataFrame) -> pd.DataFrame:
         core, counts, cls, size, total, distinct = model.value
         known = dict(core)
-        for w in vocab["word"]:
-            known[w.encode("utf-8")] = len(known)
+        # By row: a word comes once for each batch of its block's texts, and must not shift the rows behind it.
+        known.update((w.encode("utf-8"), i) for i, w in enumerate(vocab["word"], len(core)))
         n = np.concatenate([counts, vocab["n"].to_numpy(np.int64), [0]])
         of = np.concatenate([cls, vocab["cls"].to_numpy(np.int64), [0]])
         base = np.log10((n + 0.5) / (total + 0.5 * (distinct + 1)))

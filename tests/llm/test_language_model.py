@@ -72,3 +72,21 @@ def test_odd_rows(spark):
     none = M.class_bigram_scores(df, held_out=F.lit(True)).collect()
     assert len(none) == 5 and all(r["score"] == 0 and r["base_score"] == 0 and r["n_known"] == 0 for r in none)
     assert M.class_bigram_scores(df.where("false")).count() == 0
+
+
+def test_blocks_of_several_batches(spark):
+    words = [f"w{i}" for i in range(60)]
+    docs = {d: " ".join(words[(7 * d + 3 * j * j) % (20 + 2 * d)] for j in range(12)) for d in range(20)}
+    held = {d: zlib.crc32(str(d).encode()) % 5 == 1 for d in docs}
+    c = Counter(w for d, t in docs.items() if not held[d] for w in [*ascii_words(t), M.END])
+    n, v = sum(c.values()), len(c)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        got = {r["id"]: r for r in M.class_bigram_scores(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), core_words=4).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    for d, t in docs.items():
+        tokens = [*ascii_words(t), M.END]
+        assert (got[d]["n_tokens"], got[d]["n_known"], got[d]["train_tokens"]) == (len(tokens), sum(c[w] > 0 for w in tokens), n)
+        assert math.isclose(got[d]["base_score"], sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in tokens), rel_tol=1e-9)
