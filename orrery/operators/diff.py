@@ -10,6 +10,9 @@ def keyed_diff(old: DataFrame, new: DataFrame, keys: list[str], item: Column | N
     """``change`` (added or removed), ``item`` of the keys that one side only has; nulls are equal to nulls."""
     show = item if item is not None else F.concat_ws(" -> ", *keys)
     side = old.select(*keys, F.lit(1).alias("o"), F.lit(0).alias("n")).unionByName(new.select(*keys, F.lit(0).alias("o"), F.lit(1).alias("n")))
+    # A fixed number of parts: adaptive execution would put all keys into few tasks, since they are small until they lie in
+    # a task's hash tables. It is not the usual number, or this shuffle would be dropped where a side is made by one on keys.
+    side = side.repartition(int(side.sparkSession.conf.get("spark.sql.shuffle.partitions")) + 1, *keys)
     g = side.groupBy(*keys).agg(F.max("o").alias("o"), F.max("n").alias("n")).where("o <> n")
     return g.select(F.when(F.col("n") == 1, "added").otherwise("removed").alias("change"), show.alias("item"))
 

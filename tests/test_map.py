@@ -297,3 +297,11 @@ def test_scores_of_what_the_model_saw(spark, tmp_path):
     for bad in (broken, late):
         m = api.build_map(spark, root, api.Settings(model=model, scorer=bad))
         assert "evidence" not in m.meta and m["file_summaries"].count() == 3 and [r["role"] for r in m["modules"].collect()] == [None]
+
+
+def test_differences_are_not_put_into_few_tasks(spark):
+    edges_of = lambda low: spark.range(low, low + 2000).selectExpr("id as src", "id * 7 as dst", "'x' as kind").distinct()
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = diff.diff_runs({"ast_edges": edges_of(0), "modules": spark.range(9).selectExpr("cast(id as string) as path")}, {"ast_edges": edges_of(1), "modules": spark.range(9).selectExpr("cast(id as string) as path")})[0]
+    assert found.rdd.getNumPartitions() >= 2 * n
+    assert sorted(map(tuple, found.collect())) == [("deterministic_edges", "added", "2000 -> 14000 (x)"), ("deterministic_edges", "removed", "0 -> 0 (x)")]
