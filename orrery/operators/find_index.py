@@ -115,24 +115,52 @@ def _meant(tokens: DataFrame, index: dict[str, DataFrame]) -> DataFrame:
     return same.unionByName(near).unionByName(inside).groupBy("tok", "term", "piece").agg(F.max("points").alias("points"))
 
 
-def hits_many(index: dict[str, DataFrame], questions: DataFrame) -> DataFrame:
-    """``qid, kind, path, score, seq`` of all hits of ``questions(qid, question)``, one row for each hit of the corpus."""
-    asked = questions.select("qid", F.explode(question_tokens(F.col("question"))).alias("tok")).groupBy("qid", "tok").agg(F.count("*").alias("times"))
-    points = _meant(asked.select("tok").distinct(), index).join(index["find_postings"], ["term", "piece"]).groupBy("tok", "entry").agg(F.max("points").alias("points"))
-    scores = asked.join(points, "tok").groupBy("qid", "entry").agg(F.sum(F.col("points") * F.col("times")).cast("int").alias("raw"))
+def _profiles(index: dict[str, DataFrame], asked: DataFrame) -> DataFrame:
+    """``kind, profile, path, seq, copies`` of the entries that have a point: ``profile`` is which tokens give how many.
+
+    Entries of one kind and profile have the same score for every question, so that sums are made for profiles only.
+    """
+    points = _meant(asked.select("tok").distinct(), index).join(index["find_postings"], ["term", "piece"]).select("entry", "tok", "points")
+    # One exchange: both groupings find an entry's rows together.
+    points = points.repartition("entry").groupBy("entry", "tok").agg(F.max("points").alias("points"))
+    profiles = points.groupBy("entry").agg(F.array_sort(F.collect_list(F.struct("tok", "points"))).alias("profile"))
+    return profiles.join(index["find_entries"], "entry").select("kind", "profile", "path", "seq", "copies")
+
+
+def _asked(questions: DataFrame) -> DataFrame:
+    return questions.select("qid", F.explode(question_tokens(F.col("question"))).alias("tok")).groupBy("qid", "tok").agg(F.count("*").alias("times"))
+
+
+def _hits(entries: DataFrame, asked: DataFrame) -> DataFrame:
+    """``qid, kind, path, score, seq`` of entries from ``_profiles``, one row for each copy."""
+    # By profile as well as by kind, and by all columns of the entries, so that both readers share one exchange.
+    kinds = entries.groupBy("kind", "profile").agg(F.count("*").alias("entries"))
+    each = kinds.select("kind", "profile", F.explode("profile").alias("t")).select("kind", "profile", "t.tok", "t.points")
+    scores = each.join(asked, "tok").groupBy("qid", "kind", "profile").agg(F.sum(F.col("points") * F.col("times")).cast("int").alias("raw"))
     bonus = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in BONUS.items() for x in kv]), F.col("kind")), F.lit(0))
-    found = scores.join(index["find_entries"], "entry").withColumn("score", F.col("raw") + bonus)
+    found = scores.join(entries.withColumnRenamed("kind", "k"), scores["kind"].eqNullSafe(F.col("k")) & (scores["profile"] == entries["profile"])).withColumn("score", F.col("raw") + bonus)
     return found.select("qid", "kind", "path", "score", "seq", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).drop("_copy")
 
 
+def hits_many(index: dict[str, DataFrame], questions: DataFrame) -> DataFrame:
+    """``qid, kind, path, score, seq`` of all hits of ``questions(qid, question)``, one row for each hit of the corpus."""
+    asked = _asked(questions)
+    return _hits(_profiles(index, asked), asked)
+
+
 def find_many(index: dict[str, DataFrame], questions: DataFrame, limit: int = 20) -> DataFrame:
     """The first ``limit`` hits of each of ``questions(qid, question)``: ``qid, position`` (from 1), ``kind, path, score``.
 
     One plan whatever the number of questions: their words meet the index' terms (the same word, words with the same
-    beginning, words that contain them), the terms their postings, and the sums their entries. Rows are those of
+    beginning, words that contain them), the terms their postings, and the sums their entries; what is summed are profiles
+    (``_profiles``), of each of which only the first ``limit`` entries go on. Rows are those of
     ``search.find`` for each question. A null or empty question has none; ids may repeat only with the same question.
     """
     limit = max(0, min(limit, 1000))
+    asked = _asked(questions)
+    # Of the entries of one kind and profile, no question can want more than the first ones.
+    first = F.row_number().over(Window.partitionBy("kind", "profile").orderBy("path", "seq", "copies"))
+    entries = _profiles(index, asked).withColumn("n", first).where(F.col("n") <= limit).select("kind", "profile", "path", "seq", F.least("copies", F.lit(limit)).alias("copies"))
     place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "path", "seq"))
-    ranked = hits_many(index, questions).withColumn("position", place).where(F.col("position") <= limit)
+    ranked = _hits(entries, asked).withColumn("position", place).where(F.col("position") <= limit)
     return ranked.select("qid", "position", "kind", "path", "score")
