@@ -23,7 +23,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that a document with a smaller id has; ``n_chars`` follows the text."""
-    return passages.passages_removed(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return passages.passages_removed(docs, keep=1).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
