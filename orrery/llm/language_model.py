@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.functions.lineage import written
+from orrery.functions.lineage import dropped, written
 from orrery.llm.common import ascii_words
 
 #: Classes, and words that are exchanged among them one by one (the most frequent ones; the others then join a class each).
@@ -35,12 +35,23 @@ class _Numbered(dict):
         return n
 
 
+class _Known(dict):
+    """Numbers of keys; other keys share one."""
+
+    def __init__(self, numbers: dict, other: int):
+        super().__init__(numbers)
+        self.other = other
+
+    def __missing__(self, key):
+        return self.other
+
+
 def _sequence(texts, number) -> np.ndarray:
     """Numbers of all tokens: an end before the first text and behind each."""
     end = number(END)
     out = [end]
     for t in texts:
-        out += [number(w) for w in ascii_words(t)]
+        out += map(number, ascii_words(t))
         out.append(end)
     return np.array(out, np.int64)
 
@@ -54,18 +65,32 @@ def _word_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"word": [w.decode("utf-8", "replace") for w, _ in part], "n": [k for _, k in part]})
 
 
+def _core_sequences(model):
+    """Numbers of the core words of texts, ``SLICE`` texts to a row; all other words have the next number."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        core = model.value
+        number, kind = _Known(core, len(core)).__getitem__, np.min_scalar_type(len(core))
+        for batch in batches:
+            for at in range(0, len(batch), SLICE):
+                yield pd.DataFrame({"ids": [_sequence(batch["text"].iloc[at : at + SLICE], number).astype(kind).tobytes()]})
+
+    return run
+
+
 def _contexts_of_core(model):
     """Counts of (core word, class that follows) and (core word, class that precedes) as (key, n)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        core, of = model.value
-        m, k = len(core), int(of[-1]) + 1  # the last entry stands for all other words
+        of = model.value
+        m, k = len(of) - 1, int(of[-1]) + 1  # the last entry stands for all other words
         total = np.zeros((2, (m + 1) * k), np.int64)
         for batch in batches:
-            for at in range(0, len(batch), SLICE):
-                ids = _sequence(batch["text"].iloc[at : at + SLICE], lambda w: core.get(w, m))
-                total[0] += np.bincount(ids[:-1] * k + of[ids[1:]], minlength=(m + 1) * k)
-                total[1] += np.bincount(ids[1:] * k + of[ids[:-1]], minlength=(m + 1) * k)
+            for blob in batch["ids"]:
+                ids = np.frombuffer(blob, np.min_scalar_type(m)).astype(np.int64)
+                cls, key = of[ids], ids * k
+                total[0] += np.bincount(key[:-1] + cls[1:], minlength=(m + 1) * k)
+                total[1] += np.bincount(key[1:] + cls[:-1], minlength=(m + 1) * k)
         flat = total.ravel()
         key = np.flatnonzero(flat)
         yield pd.DataFrame({"key": key, "n": flat[key]})
@@ -199,6 +224,7 @@ def _score_block(model):
         # By row: a word comes once for each batch of its block's texts, and must not shift the rows behind it.
         known.update((w.encode("utf-8"), i) for i, w in enumerate(vocab["word"], len(core)))
         n = np.concatenate([counts, vocab["n"].to_numpy(np.int64), [0]])
+        known = _Known(known, len(n) - 1)
         of = np.concatenate([cls, vocab["cls"].to_numpy(np.int64), [0]])
         base = np.log10((n + 0.5) / (total + 0.5 * (distinct + 1)))
         emit = np.where(n > 0, np.log10(np.maximum(n, 1) / np.maximum(size[of], 1)), 0.0)
@@ -206,7 +232,7 @@ def _score_block(model):
         code = np.where(n > 1, of, np.where(n == 1, of + k, 2 * k)).astype(np.uint8)
         out = []
         for i, held, t in zip(docs["id"], docs["held_out"], docs["text"], strict=True):
-            ids = _sequence([t], lambda w: known.get(w, len(n) - 1))[1:]
+            ids = _sequence([t], known.__getitem__)[1:]
             out.append((i, held, len(ids), int((n[ids] > 0).sum()), float(base[ids].sum()), float(emit[ids].sum()), code[ids].tobytes()))
         return pd.DataFrame(out, columns=["id", "held_out", "n_tokens", "n_known", "base_score", "emission", "classes"])
 
@@ -310,13 +336,16 @@ def class_bigram_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # The end and the most frequent words start with classes of their own, the others share the last one.
     of = np.minimum(np.arange(m), k - 1)
     after = before = np.zeros((m, k + 1))
+    # Words are looked up once; the passes read numbers.
+    sequences = written(train.mapInPandas(_core_sequences(sc.broadcast(core)), "ids binary"), "core-sequences", compression="zstd")
     for _ in range(passes):
-        state = sc.broadcast((core, np.append(of, k)))
-        found = train.mapInPandas(_contexts_of_core(state), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+        state = sc.broadcast(np.append(of, k))
+        found = sequences.mapInPandas(_contexts_of_core(state), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
         both = _dense(found, 2 * (m + 1) * (k + 1)).reshape(2, m + 1, k + 1)[:, :m].astype(float)
         after, before = both
         of = exchange(after, before, of, k)
 
+    dropped(sequences)
     counts = after.sum(axis=1).astype(np.int64)
     counts[0] = n_train  # the end before a batch's first text is not a token
     out, into = np.zeros((k, k + 1)), np.zeros((k, k + 1))
